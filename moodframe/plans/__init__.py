@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["text"]
+TOPICS = ["text", "quality", "words", "models"]
 
 
 def _load():

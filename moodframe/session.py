@@ -62,3 +62,11 @@ def lookup_join(
     else a shuffle join that adaptive execution can split on hot keys."""
     side = F.broadcast(lookup) if fits(lookup, max_rows) else lookup
     return facts.join(side, on, how)
+
+
+def spread_small(df: DataFrame, bytes_per_core: int = 16 << 20) -> DataFrame:
+    """Spreads a frame over all cores if the planner knows it to be small. A large one has
+    splits enough and is left as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * bytes_per_core else df
