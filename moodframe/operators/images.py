@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_CONFIDENCE = 0.9  # fixed value
 FACE_SIZE = (48, 48)  # fixed value
@@ -21,7 +22,7 @@ ROTATION, SHIFT, SHEAR, ZOOM = 10.0, 0.1, 0.1, 0.1
 FACES = "array<struct<box:struct<x:int,y:int,w:int,h:int>,confidence:double>>"
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_pixels(data: pd.Series) -> pd.Series:
     return data.map(lambda b: np.frombuffer(b, np.uint8) / 255.0)
 

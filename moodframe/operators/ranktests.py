@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEVELS = [0.001, 0.01, 0.05]  # fixed values: significance levels of the sign matrix
 _SELF = -1.0  # fixed value: the diagonal
@@ -40,7 +41,7 @@ def chi_square_tail(x: float, df: int) -> float:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi_square_column(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi_square_tail(a, int(b)) for a, b in zip(x, df)])
 
@@ -58,7 +59,7 @@ def studentized_range_tail(q: float, k: int) -> float:
     return float(min(1.0, max(0.0, 1 - (weights * y).sum() * step / 3)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _studentized_column(q: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([studentized_range_tail(a, int(b)) for a, b in zip(q, k)])
 

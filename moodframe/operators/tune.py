@@ -150,4 +150,4 @@ def fit_fold_vocabulary(df: DataFrame, fold_col: str, fold: int, max_features: i
 def rank_settings(means: DataFrame, order: str) -> DataFrame:
     """All settings with their place; the grid bounds the rows of the window."""
     place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("mean_accuracy"), order))
-    return means.withColumn("place", place)
+    return means.withColumn("place", place.cast("bigint"))

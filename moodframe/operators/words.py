@@ -44,7 +44,8 @@ def top_words(counts: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     if not by:
         return counts.orderBy(F.desc("n"), "term").limit(k)
     order = W.partitionBy(*by).orderBy(F.desc("n"), "term")
-    return counts.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    ranked = counts.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    return ranked.withColumn("rn", F.col("rn").cast("bigint"))
 
 
 def cloud_weights(counts: DataFrame, max_words: int = 200, by: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["text", "quality", "words", "models"]
+TOPICS = ["text", "quality", "words", "models", "evaluation"]
 
 
 def _load():

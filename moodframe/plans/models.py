@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -117,7 +119,7 @@ def _bayes_scores(spark, sf, alphas=(nb.ALPHA,)):
 
 @query(
     "m6_count_vocabulary",
-    f"WITH {_tfidf_sql()} SELECT term, n, df, round(ln((1 + size.n) / (1 + df)) + 1, 9) AS idf FROM vocab, size",
+    f"WITH {_tfidf_sql()} SELECT term, vocab.n, df, round(ln((1 + size.n) / (1 + df)) + 1, 9) AS idf FROM vocab, size",
 )
 def vocabulary(spark, sf):
     train = _base(spark, sf).filter(F.col("split") == "train")
@@ -188,6 +190,15 @@ def saved_model(spark, sf):
     return out.select("doc_id", "label", F.round("p1", 6).alias("p1"), "prediction")
 
 
+def timed_bayes_fit(spark, sf):
+    """Run rows with the wall time of one naive Bayes fit and its settings."""
+    start = time.time()
+    vocabulary, train, _ = _parts(spark, sf)
+    stage(nb.fit_bayes(nb.class_sums(train), n_terms=len(vocabulary.terms)), "weights")
+    seconds = time.time() - start
+    return tb.run_rows(spark, "bayes", {"model": {"alpha": nb.ALPHA, "terms": len(vocabulary.terms)}}, {"fit_seconds": seconds})
+
+
 # --- cross-validation and grids ---------------------------------------------------------
 
 _CV_TERMS = 1000
