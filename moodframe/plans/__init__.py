@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ["text", "quality", "words", "models", "evaluation"]
+TOPICS = ["text", "quality", "words", "models", "evaluation", "log", "images"]
 
 
 def _load():

@@ -196,6 +196,8 @@ def best_model(spark, sf):
     return ev.best_model(_rounded(metrics, "accuracy").withColumn("model_order", order))
 
 
+_MODELS = ["click", "error", "purchase", "signup", "view"]
+
 # Days are the measures and event types the models; the value is a count, so ties occur.
 _METRICS = "metrics AS (SELECT strftime(ts, '%Y-%m-%d') AS measure, event_type AS model, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
 _RANKS = f"""{_METRICS}, ranked AS (SELECT measure, model, value, rank() OVER (PARTITION BY measure ORDER BY value)
@@ -248,19 +250,13 @@ def significance_levels(spark, sf):
     return rt.significance_long(rt.nemenyi(_metrics(spark, sf)))
 
 
-# Means of days as p-values stand-ins: the matrix shape and level marks are what is checked.
+# The distances stand in for the p-values, which SQL cannot compute: the shape is checked.
 @query(
     "e15_significance_matrix",
-    """WITH m AS (SELECT event_type AS a, count(*) % 7 AS c FROM events GROUP BY 1),
-    p AS (SELECT x.a AS model, y.a AS other, CASE WHEN x.a = y.a THEN -1.0 ELSE (x.c + y.c) / 100.0 END AS v FROM m x CROSS JOIN m y)
-    SELECT model, max(v) FILTER (WHERE other = 'click')::DOUBLE AS click, max(v) FILTER (WHERE other = 'error')::DOUBLE AS error,
-      max(v) FILTER (WHERE other = 'purchase')::DOUBLE AS purchase, max(v) FILTER (WHERE other = 'signup')::DOUBLE AS signup,
-      max(v) FILTER (WHERE other = 'view')::DOUBLE AS view FROM p GROUP BY model""",
+    f"""WITH {_RANKS}, m AS (SELECT model, avg(rank) AS r FROM ranked GROUP BY model),
+    p AS (SELECT a.model, b.model AS other, CASE WHEN a.model = b.model THEN -1 ELSE round(abs(a.r - b.r), 9) END AS v FROM m a CROSS JOIN m b)
+    SELECT model, {", ".join(f"max(v) FILTER (WHERE other = '{m}')::DOUBLE AS {m}" for m in _MODELS)} FROM p GROUP BY model""",
 )
 def significance_matrix(spark, sf):
-    counts = table(spark, sf, "events").groupBy("event_type").agg((F.count("*") % 7).alias("c"))
-    left = counts.select(F.lit(1).alias("k"), F.col("event_type").alias("model_a"), F.col("c").alias("ca"))
-    right = counts.select(F.lit(1).alias("k"), F.col("event_type").alias("model_b"), F.col("c").alias("cb"))
-    pairs = left.join(right, "k").filter(F.col("model_a") < F.col("model_b"))
-    pairs = pairs.select("model_a", "model_b", ((F.col("ca") + F.col("cb")) / F.lit(100.0)).alias("p_value"))
-    return rt.significance_matrix(pairs, ["click", "error", "purchase", "signup", "view"])
+    pairs = rt.nemenyi(_metrics(spark, sf)).withColumn("p_value", F.round("distance", 9))
+    return rt.significance_matrix(pairs, _MODELS)
