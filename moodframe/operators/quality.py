@@ -92,8 +92,8 @@ def describe_number(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> Data
     )
     if by:
         return base.join(quarts, list(by))
-    # Two one-row aggregates side by side.
-    return base.withColumn("_one", F.lit(1)).join(quarts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    picked = quarts.select(F.struct("p25", "p50", "p75")).scalar()
+    return base.withColumn("_q", picked).select("*", "_q.*").drop("_q")
 
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 200_000
+_local_folder: list[str] = []
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -32,9 +33,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="moodframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="moodframe-"))
+    return _local_folder[0]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
