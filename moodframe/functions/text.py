@@ -20,10 +20,11 @@ NOT_SPACE = SPACES.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]{2,}"
 CLOUD_WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']*"
 PUNCTUATION = r"!-/:-@\[\]^_`{|}~"  # the backslash stays
-HARD_SPLITS = (
-    r"(?<=\bcan)(?=not\b)|(?<=\bgim)(?=me\b)|(?<=\bgon)(?=na\b)"
-    r"|(?<=\bgot)(?=ta\b)|(?<=\blem)(?=me\b)|(?<=\bwan)(?=na(?:\s|$))"
-)
+ASCII_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+ASCII_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+OTHER_SPACES = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+DELETED = "0123456789!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"  # the same, digits too, one by one
+HARD_SPLITS = r"\b(can(?=not\b)|gim(?=me\b)|gon(?=na\b)|got(?=ta\b)|lem(?=me\b)|wan(?=na(?:\s|$)))"
 URL_LOWER = r"http://[^ ]*|https://[^ ]*| www\.[^ ]*"
 TWEET_URL = r"(?i)(?:https?://|www\.)[^\s]+"
 TWEET_MENTION = r"@[\p{L}\p{N}_]*"
@@ -40,8 +41,16 @@ _FIXED_MAP_LIMIT = 1000
 
 
 def squeeze_spaces(text: Column) -> Column:
-    """Runs of white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, SPACES + "+", " "))
+    """Runs of white space become one space; ends are trimmed. A character map first makes
+    all white space plain, so that only real runs are matched."""
+    others = ASCII_SPACES.rstrip(" ") + OTHER_SPACES
+    return F.trim(F.regexp_replace(F.translate(text, others, " " * len(others)), " {2,}", " "))
+
+
+def letters_only(text: Column) -> Column:
+    """Everything but ASCII letters and digits becomes a space."""
+    signs = "".join(map(chr, range(32))) + ASCII_SIGNS + "\x7f"
+    return F.translate(F.regexp_replace(text, r"[^\x00-\x7F]+", " "), signs, " " * len(signs))
 
 
 def squeeze_repeats(text: Column) -> Column:
@@ -50,11 +59,12 @@ def squeeze_repeats(text: Column) -> Column:
 
 
 def clean_collected_post(text: Column) -> Column:
-    """Mentions, other signs and URLs become spaces, then spaces are squeezed."""
-    pattern = (
-        r"@[A-Za-z0-9]+|[^0-9A-Za-z \t]|[0-9A-Za-z][\p{L}\p{N}_]*://" + NOT_SPACE + "+"
-    )
-    return squeeze_spaces(F.regexp_replace(text, pattern, " "))
+    """Mentions, other signs and URLs become spaces, then spaces are squeezed. A URL is only
+    looked for where a word starts, and only in texts that have one."""
+    url = r"(?<![0-9A-Za-z])[0-9A-Za-z][\p{L}\p{N}_]*+://" + NOT_SPACE + "+"
+    marks = F.regexp_replace(text, "@[A-Za-z0-9]+|" + url, " ")
+    gone = F.when(text.contains("://") | text.contains("@"), marks).otherwise(text)
+    return F.trim(F.regexp_replace(letters_only(gone), " {2,}", " "))
 
 
 def tweet_preclean(
@@ -91,10 +101,17 @@ def replace_emoticons(
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), pairs, text)
 
 
+def bare_text(text: Column, non_ascii_to_space: bool = False) -> Column:
+    """Lower-cased text without non-ASCII characters, digits and punctuation; white space is
+    plain spaces. Deleting characters one class after the other gives the same text, so the
+    ASCII classes go in one character map."""
+    ascii_only = F.regexp_replace(F.lower(text), r"[^\x00-\x7F]+", " " if non_ascii_to_space else "")
+    return F.translate(ascii_only, ASCII_SPACES + DELETED, " " * len(ASCII_SPACES))
+
+
 def treebank_words(text: Column) -> Column:
-    """Token list of punctuation-free text: white space plus the fixed word splits."""
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(text, HARD_SPLITS, " "), SPACES + "+", " "))
-    return F.filter(F.split(spaced, " ", -1), lambda w: w != "")
+    """Token list of bare text: white space plus the fixed word splits."""
+    return F.filter(F.split(F.regexp_replace(text, HARD_SPLITS, "$1 "), " ", -1), lambda w: w != "")
 
 
 def with_lemmas(words: Column, lemmas: dict[str, str] | None) -> Column:
@@ -108,19 +125,11 @@ def with_lemmas(words: Column, lemmas: dict[str, str] | None) -> Column:
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
 
 
-def post_words(
-    text: Column,
-    stop_words=None,
-    non_ascii_to_space: bool = False,
-) -> Column:
-    """Kept tokens of a post before lemmas. All single-character removals run as one
-    pattern, since deleting characters one class after the other gives the same text."""
-    lowered = F.lower(text)
-    if non_ascii_to_space:
-        lowered = F.regexp_replace(lowered, r"[^\x00-\x7F]+", " ")
-    bare = F.regexp_replace(lowered, rf"[^\x00-\x7F]+|[0-9{PUNCTUATION}]+", "")
+def post_words(text: Column, stop_words=None, non_ascii_to_space: bool = False) -> Column:
+    """Kept tokens of a post before lemmas."""
     drops = post_cleaner_drops(stop_words)
-    return F.filter(treebank_words(bare), lambda w: (F.length(w) > 1) & ~w.isin(drops))
+    spaced = F.regexp_replace(bare_text(text, non_ascii_to_space), HARD_SPLITS, "$1 ")
+    return F.filter(F.split(spaced, " ", -1), lambda w: (F.length(w) > 1) & ~w.isin(drops))
 
 
 def clean_post(
@@ -141,8 +150,8 @@ def sentiment_words(
     no_urls = F.regexp_replace(F.lower(text), URL_LOWER, "")
     spoken = replace_emoticons(no_urls, fold_keys=fold_keys)
     no_users = F.regexp_replace(spoken, "@" + NOT_SPACE + "+", "")
-    plain = squeeze_repeats(F.regexp_replace(no_users, "[^a-zA-Z0-9]", " "))
-    words = F.filter(F.split(plain, " +", -1), lambda w: F.length(w) > 1)
+    plain = squeeze_repeats(letters_only(no_users))
+    words = F.filter(F.split(plain, " ", -1), lambda w: F.length(w) > 1)
     if drop_stopwords:
         words = F.filter(words, lambda w: ~w.isin(SENTIMENT_STOP_WORDS))
     return words
@@ -167,8 +176,9 @@ def vector_words(text: Column) -> Column:
 def cloud_words(text: Column, stop_words=()) -> Column:
     """Words for frequency tables: possessives cut, digit-only words out."""
     found = F.regexp_extract_all(F.lower(text), F.lit(CLOUD_WORD), F.lit(0))
-    cut = F.transform(found, lambda w: F.regexp_replace(w, "'s$", ""))
-    kept = F.filter(cut, lambda w: ~w.rlike(r"^\p{Nd}+$"))
+    cut = F.transform(found, lambda w: F.when(w.endswith("'s"), F.left(w, F.length(w) - 2)).otherwise(w))
+    # Most words start with a plain letter: only the others need the pattern.
+    kept = F.filter(cut, lambda w: F.left(w, F.lit(1)).between("a", "z") | ~w.rlike(r"^\p{Nd}+$"))
     drops = sorted({w.lower() for w in stop_words})
     return F.filter(kept, lambda w: ~w.isin(drops)) if drops else kept
 

@@ -17,13 +17,11 @@ def polarity_class(polarity: Column) -> Column:
     return F.when(p > CUT, "positive").when(p > -CUT, "neutral").otherwise("negative")
 
 
-def fixed_polarity(text: Column, lexicon: dict[str, float]) -> Column:
-    """Mean polarity of the known words, with a small fixed lexicon, inside the row."""
+def known_polarities(text: Column, lexicon: dict[str, float]) -> Column:
+    """Polarities of the known words of a text, with a small fixed lexicon, inside the row."""
     table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in (kv[0], float(kv[1]))])
     known = F.filter(vector_words(text), lambda w: w.isin(list(lexicon)))
-    values = F.transform(known, lambda w: F.element_at(table, w))
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(values) > 0, total / F.size(values))
+    return F.transform(known, lambda w: F.element_at(table, w))
 
 
 def table_polarity(df: DataFrame, key: str, text_col: str, lexicon: DataFrame) -> DataFrame:
@@ -36,9 +34,12 @@ def table_polarity(df: DataFrame, key: str, text_col: str, lexicon: DataFrame) -
 
 
 def label_posts(df: DataFrame, text_col: str, lexicon: dict[str, float]) -> DataFrame:
-    """Cleaned text with its sentiment."""
+    """Cleaned text with its sentiment: the mean polarity of its known words, in class. Each
+    step is its own column, so the patterns run once per post."""
     cleaned = df.withColumn(text_col, clean_collected_post(F.col(text_col)))
-    return cleaned.withColumn("sentiment", polarity_class(fixed_polarity(F.col(text_col), lexicon)))
+    values = cleaned.withColumn("_v", known_polarities(F.col(text_col), lexicon))
+    mean = F.when(F.size("_v") > 0, F.aggregate("_v", F.lit(0.0), lambda s, v: s + v) / F.size("_v"))
+    return values.withColumn("sentiment", polarity_class(mean)).drop("_v")
 
 
 def keep_unique_retweets(

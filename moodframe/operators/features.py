@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import vector_words
-from moodframe.session import stage
 
 MAX_FEATURES = 30_000
 MAX_FEATURES_LIMIT = 1_000_000
@@ -72,32 +72,42 @@ def _take(counts: DataFrame, n_docs: int, max_features: int) -> Vocabulary:
     return Vocabulary([r["term"] for r in rows], [r["n"] for r in rows], [r["df"] for r in rows], n_docs)
 
 
-def fit_vocabulary(
-    df: DataFrame, text_col: str = "text", max_features: int = MAX_FEATURES, words: Column | None = None
-) -> Vocabulary:
+def words_of(df: DataFrame, text_col: str = "text") -> Column:
+    """Token column of a frame: ``words`` if it is there already, else made from the text."""
+    return F.col("words") if "words" in df.columns else vector_words(F.col(text_col))
+
+
+def fit_vocabulary(df: DataFrame, text_col: str = "text", max_features: int = MAX_FEATURES) -> Vocabulary:
     """The most frequent terms; ties go by term."""
-    found = vector_words(F.col(text_col)) if words is None else words
-    return _take(term_counts(df, found), df.count(), max_features)
+    return _take(term_counts(df, words_of(df, text_col)), df.count(), max_features)
 
 
 def fold_vocabularies(
     df: DataFrame, fold_col: str, k: int, text_col: str = "text", max_features: int = MAX_FEATURES
 ) -> list[Vocabulary]:
     """One vocabulary per fold, fitted on the rows outside it. The corpus is read once:
-    counts per (fold, term) are kept and summed over the other folds."""
-    counts = stage(term_counts(df, vector_words(F.col(text_col)), fold_col), "fold-terms")
+    counts per (fold, term) are summed over the other folds, and each task cuts its folds to
+    ``max_features`` terms before the final ranking."""
+    if not 0 < max_features <= MAX_FEATURES_LIMIT:
+        raise ValueError(f"max_features must be 1..{MAX_FEATURES_LIMIT}")
+    counts = term_counts(df, words_of(df, text_col), fold_col)
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold_col))
+    rest = counts.select(F.explode(others).alias("_f"), "term", "n", "df")
+    totals = rest.groupBy("_f", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    order = W.partitionBy("_f").orderBy(F.desc("n"), "term")
+    top = totals.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_features).toPandas()
     sizes = {r[fold_col]: r["n"] for r in df.groupBy(fold_col).agg(F.count("*").alias("n")).collect()}
     found = []
     for fold in range(k):
-        rest = counts.filter(F.col(fold_col) != fold).groupBy("term")
-        rest = rest.agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-        found.append(_take(rest, sum(n for f, n in sizes.items() if f != fold), max_features))
+        rows = top[top["_f"] == fold].sort_values("_r")
+        n_docs = sum(n for f, n in sizes.items() if f != fold)
+        found.append(Vocabulary(rows["term"].tolist(), rows["n"].tolist(), rows["df"].tolist(), n_docs))
     return found
 
 
 def count_vectors(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "counts") -> DataFrame:
     """Adds the sparse count vector; unseen terms drop out."""
-    words = df.withColumn("_words", vector_words(F.col(text_col)))
+    words = df.withColumn("_words", words_of(df, text_col))
     model = CountVectorizerModel.from_vocabulary(vocabulary.terms, inputCol="_words", outputCol=out)
     return model.transform(words).drop("_words")
 

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,15 @@ def _stripped(word: Column) -> Column:
     return F.filter(F.array(*made), lambda c: c.isNotNull())
 
 
+def _form(number: int, place: int, form: Column) -> Column:
+    return F.struct(F.lit(number).alias("round"), F.lit(place).alias("place"), form.alias("form"))
+
+
 def _candidates(word: Column) -> Column:
     """(round, place, form) for the word itself and every round of the rules. A round works
     on all forms of the one before, until no rule applies."""
     start = F.struct(
-        F.array(F.struct(F.lit(0).alias("round"), F.lit(0).alias("place"), word.alias("form"))).alias("seen"),
+        F.array(_form(0, 0, word)).alias("seen"),
         F.array(word).alias("front"),
     )
 
@@ -47,20 +53,16 @@ def lemma_table(words: DataFrame, vocabulary: DataFrame, exceptions: DataFrame)
     An exception word takes the shortest of itself (if known) and its listed lemmas. Else
     the first round that gives a known form decides, the word itself belonging to round 1;
     the shortest form wins, the earlier one on a tie."""
-    distinct = words.select("word").where(F.col("word").isNotNull()).distinct()
-    listed = lookup_join(distinct, exceptions.select("word", F.col("lemma").alias("_x")), "word", "left")
-    with_rule = listed.select(
-        "word",
-        F.explode(
-            F.when(
-                F.col("_x").isNotNull(),
-                F.array(
-                    F.struct(F.lit(0).alias("round"), F.lit(0).alias("place"), F.col("word").alias("form")),
-                    F.struct(F.lit(0).alias("round"), F.lit(1).alias("place"), F.col("_x").alias("form")),
-                ),
-            ).otherwise(_candidates(F.col("word")))
-        ).alias("c"),
-    ).select("word", "c.round", "c.place", "c.form")
+    word = F.col("word")
+    endings = reduce(lambda a, b: a | b, [word.endswith(old) for old, _ in NOUN_SUFFIXES])
+    listed = lookup_join(words.select("word"), exceptions.select("word"), "word", "left_semi").distinct()
+    irregular = listed.join(exceptions.select("word", F.col("lemma").alias("_x")), "word").select(
+        "word", F.explode(F.array(_form(0, 0, word), _form(0, 1, F.col("_x")))).alias("c")
+    )
+    # Without an ending of the rules a word is its own lemma: it never enters the shuffle.
+    plain = lookup_join(words.select("word").filter(endings), exceptions.select("word"), "word", "left_anti").distinct()
+    regular = plain.select("word", F.explode(_candidates(word)).alias("c"))
+    with_rule = irregular.unionByName(regular).select("word", "c.round", "c.place", "c.form")
     known = lookup_join(with_rule, vocabulary.select(F.col("lemma").alias("form")).distinct(), "form", "left_semi")
     tier = F.greatest("round", F.lit(1))
     best = known.groupBy("word").agg(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -14,13 +16,12 @@ from pyspark.sql import functions as F
 from moodframe.operators.bayes import ALPHA_GRID, class_sums, fit_bayes, margins
 from moodframe.operators.features import (
     MAX_FEATURES,
-    fit_vocabulary,
     fold_vocabularies,
     sparse_arrays,
     tfidf_vectors,
 )
 from moodframe.operators.linear import fit_linear, training_rows
-from moodframe.operators.neighbors import nearest_neighbors, vote
+from moodframe.operators.neighbors import nearest_neighbors
 from moodframe.session import stage
 
 # The grids of the original runs.
@@ -40,14 +41,21 @@ def bayes_fold_scores(
     df: DataFrame, fold_col: str, k: int, alphas=tuple(ALPHA_GRID), max_features: int = MAX_FEATURES
 ) -> DataFrame:
     """Accuracy per (alpha_order, alpha, fold): vocabulary, weights and scores are fitted
-    afresh per fold; all smoothing values share one pass. ``df`` has doc_id, text, label."""
+    afresh per fold; all smoothing values share one pass, and so do the sums of all folds.
+    ``df`` has doc_id, label and text or words."""
     vocabularies = fold_vocabularies(df, fold_col, k, "text", max_features)
+    fitted = reduce(
+        DataFrame.unionByName,
+        [
+            class_sums(tfidf_vectors(df.filter(F.col(fold_col) != f), v)).withColumn("fold", F.lit(f))
+            for f, v in enumerate(vocabularies)
+        ],
+    )
+    sums = stage(fitted, "class-sums")
     parts = []
     for fold, vocabulary in enumerate(vocabularies):
-        train = tfidf_vectors(df.filter(F.col(fold_col) != fold), vocabulary)
         held = tfidf_vectors(df.filter(F.col(fold_col) == fold), vocabulary)
-        sums = stage(class_sums(train), "class-sums")
-        weights = stage(fit_bayes(sums, alphas, len(vocabulary.terms)), "weights")
+        weights = fit_bayes(sums.filter(F.col("fold") == fold), alphas, len(vocabulary.terms))
         scored = margins(held, weights, ["doc_id", "label"])
         hits = [
             F.avg(((F.col(f"m{i}") > 0).cast("int") == F.col("label")).cast("double")).alias(f"m{i}")
@@ -72,52 +80,70 @@ def best_setting(means: DataFrame, order: str) -> DataFrame:
     return means.orderBy(F.desc("mean_accuracy"), order).limit(1)
 
 
+def _side_by_side(tasks, parallelism: int) -> list:
+    """Runs a few driver functions at once, so that the jobs of small fits overlap."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(lambda task: task()), tasks))
+
+
 def neighbor_fold_scores(
-    df: DataFrame, fold_col: str, k_folds: int, ks=tuple(NEIGHBOR_GRID), max_features: int = 5000
+    df: DataFrame, fold_col: str, k_folds: int, ks=tuple(NEIGHBOR_GRID), max_features: int = 5000, parallelism: int = 3
 ) -> DataFrame:
     """Accuracy per (k_order, k, fold). The largest k is searched once and voted on at each k."""
-    parts = []
-    for fold, vocabulary in enumerate(fold_vocabularies(df, fold_col, k_folds, "text", max_features)):
+
+    def one_fold(fold, vocabulary):
         rows = stage(
-            sparse_arrays(tfidf_vectors(df, vocabulary).select(F.col("doc_id").alias("id"), "label", fold_col, "features")),
+            sparse_arrays(
+                tfidf_vectors(df, vocabulary).select(F.col("doc_id").alias("id"), "label", fold_col, "features")
+            ),
             "knn-rows",
         )
         held = rows.filter(F.col(fold_col) == fold)
-        near = stage(
-            nearest_neighbors(rows.filter(F.col(fold_col) != fold), held, max(ks), len(vocabulary.terms)), "near"
-        )
-        for at, k in enumerate(ks):
-            hit = vote(near, k).join(held.select(F.col("id").alias("query_id"), "label"), "query_id")
-            parts.append(
-                hit.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).select(
-                    F.lit(at).alias("k_order"), F.lit(k).alias("k"), F.lit(fold).alias("fold"), "accuracy"
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+        near = nearest_neighbors(rows.filter(F.col(fold_col) != fold), held, max(ks), len(vocabulary.terms))
+        return stage(near.join(held.select(F.col("id").alias("query_id"), F.col("label").alias("truth")), "query_id"), "near")
+
+    def scored(fold, near):
+        """Every neighbour casts a ballot for each k it is near enough for."""
+        grid = F.array(*[F.struct(F.lit(i).alias("k_order"), F.lit(k).alias("k")) for i, k in enumerate(ks)])
+        ballots = near.select("query_id", "truth", "label", F.explode(F.filter(grid, lambda g: F.col("rn") <= g["k"])).alias("g"))
+        votes = ballots.groupBy("query_id", "truth", "g", "label").agg(F.count("*").alias("votes"))
+        picked = votes.groupBy("query_id", "truth", "g").agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("p"))
+        hit = F.avg((F.col("p") == F.col("truth")).cast("double"))
+        return picked.groupBy("g").agg(hit.alias("accuracy")).select("g.k_order", "g.k", F.lit(fold).alias("fold"), "accuracy")
+
+    vocabularies = fold_vocabularies(df, fold_col, k_folds, "text", max_features)
+    found = _side_by_side([partial(one_fold, f, v) for f, v in enumerate(vocabularies)], parallelism)
+    return reduce(DataFrame.unionByName, [scored(f, near) for f, near in enumerate(found)])
 
 
 def linear_fold_scores(
-    df: DataFrame, fold_col: str, k: int, grid=None, alpha: float = 1e-4, max_features: int = MAX_FEATURES
+    df: DataFrame, fold_col: str, k: int, grid=None, alpha: float = 1e-4, max_features: int = MAX_FEATURES,
+    parallelism: int = 3,
 ) -> DataFrame:
     """Accuracy per setting and fold of the linear trainer. Settings that differ only in the
-    number of rounds still train apart, as in the original grid."""
+    number of rounds still train apart, as in the original grid. The weights of all settings
+    of a fold score its rows in one pass."""
     grid = LINEAR_GRID if grid is None else grid
-    settings = list(product(*grid.values()))
+    settings = [dict(zip(grid, values)) for values in product(*grid.values())]
     parts = []
     for fold, vocabulary in enumerate(fold_vocabularies(df, fold_col, k, "text", max_features)):
         rows = training_rows(tfidf_vectors(df.filter(F.col(fold_col) != fold), vocabulary))
         held = tfidf_vectors(df.filter(F.col(fold_col) == fold), vocabulary)
-        for at, values in enumerate(settings):
-            chosen = dict(zip(grid, values))
-            model = fit_linear(rows, len(vocabulary.terms), alpha=alpha, staged=True, **chosen)
-            scored = margins(held, model.table(df.sparkSession), ["doc_id", "label"])
-            hit = F.avg(((F.col("m0") > 0).cast("int") == F.col("label")).cast("double"))
-            parts.append(
-                scored.agg(hit.alias("accuracy")).select(
-                    F.lit(at).alias("setting_order"), F.lit(str(chosen)).alias("setting"),
-                    F.lit(fold).alias("fold"), "accuracy",
-                )
+        size = len(vocabulary.terms)
+        fits = [partial(fit_linear, rows, size, alpha=alpha, staged=True, **chosen) for chosen in settings]
+        models = _side_by_side(fits, parallelism)
+        table = [(i, *(float(m.weights[i]) for m in models)) for i in range(size)]
+        schema = "idx int, " + ", ".join(f"w{i} double" for i in range(len(models)))
+        scored = margins(held, df.sparkSession.createDataFrame(table, schema), ["doc_id", "label"])
+        hits = [
+            F.struct(
+                F.lit(i).alias("setting_order"), F.lit(str(chosen)).alias("setting"),
+                F.avg(((F.col(f"m{i}") > 0).cast("int") == F.col("label")).cast("double")).alias("accuracy"),
             )
+            for i, chosen in enumerate(settings)
+        ]
+        line = scored.agg(F.array(*hits).alias("h")).select(F.explode("h").alias("h"))
+        parts.append(line.select("h.setting_order", "h.setting", F.lit(fold).alias("fold"), "h.accuracy"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -143,10 +169,6 @@ def grid_report(search, spark) -> DataFrame:
     return spark.createDataFrame(rows, "setting_order int, setting string, mean_accuracy double")
 
 
-def fit_fold_vocabulary(df: DataFrame, fold_col: str, fold: int, max_features: int = MAX_FEATURES):
-    return fit_vocabulary(df.filter(F.col(fold_col) != fold), "text", max_features)
-
-
 def rank_settings(means: DataFrame, order: str) -> DataFrame:
     """All settings with their place; the grid bounds the rows of the window."""
     place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("mean_accuracy"), order))

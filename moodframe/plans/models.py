@@ -98,8 +98,9 @@ def _bayes_sql(alpha: float = 0.1, name: str = "scored") -> str:
 
 
 def _base(spark, sf):
-    rows = labelled(spark, sf).select("doc_id", "text", "label")
-    return rows.withColumn("split", split_name(F.col("doc_id"), TRAIN_TEST))
+    """(doc_id, words, label, split): tokens instead of texts, so each text is read once."""
+    words = tx.vector_words(F.col("text")).alias("words")
+    return labelled(spark, sf).select("doc_id", words, "label", split_name(F.col("doc_id"), TRAIN_TEST).alias("split"))
 
 
 def _parts(spark, sf, terms: int = TERMS):
@@ -113,7 +114,7 @@ def _parts(spark, sf, terms: int = TERMS):
 def _bayes_scores(spark, sf, alphas=(nb.ALPHA,)):
     vocabulary, train, test = _parts(spark, sf)
     sums = stage(nb.class_sums(train), "class-sums")
-    weights = stage(nb.fit_bayes(sums, alphas, len(vocabulary.terms)), "weights")
+    weights = nb.fit_bayes(sums, alphas, len(vocabulary.terms))
     return vocabulary, weights, nb.margins(test, weights, ["doc_id", "label"])
 
 
@@ -131,7 +132,7 @@ def vocabulary(spark, sf):
 def count_rows(spark, sf):
     rows = stage(_base(spark, sf), "labelled")
     found = ft.fit_vocabulary(rows.filter(F.col("split") == "train"), "text", TERMS)
-    counted = ft.count_vectors(rows.select("doc_id", "text"), found).drop("text")
+    counted = ft.count_vectors(rows.select("doc_id", "words"), found).drop("words")
     long = ft.long_rows(counted, "counts").filter(F.col("idx").isNotNull())
     return long.join(F.broadcast(found.table(spark)), "idx").select("doc_id", "term", F.col("val").alias("tf"))
 
@@ -235,7 +236,7 @@ _FOLD_ACCURACY = f"""{_fold_sql(_CV_TERMS)},
 
 
 def _folded(spark, sf):
-    rows = labelled(spark, sf).select("doc_id", "text", "label")
+    rows = labelled(spark, sf).select("doc_id", tx.vector_words(F.col("text")).alias("words"), "label")
     return stage(exact_folds(rows, "doc_id", 5, by=("label",)), "folded")
 
 

@@ -10,6 +10,7 @@ from moodframe.operators.features import fit_vocabulary
 from moodframe.operators.lemmas import lemma_table, lemmatize
 from moodframe.operators.score import encode_fixed, length_cap
 from moodframe.plans.registry import query, quoted, table
+from moodframe.session import stage
 
 _SP = tx.SPACES
 _NSP = tx.NOT_SPACE
@@ -112,8 +113,7 @@ def emoticons(spark, sf):
     SELECT doc_id, len(words)::BIGINT AS n_words, array_to_string(words, ' ') AS words FROM w""",
 )
 def treebank(spark, sf):
-    bare = F.regexp_replace(F.lower("text"), rf"[^\x00-\x7F]+|[0-9{tx.PUNCTUATION}]+", "")
-    words = table(spark, sf, "documents").select("doc_id", tx.treebank_words(bare).alias("w"))
+    words = table(spark, sf, "documents").select("doc_id", tx.treebank_words(tx.bare_text(F.col("text"))).alias("w"))
     return words.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.array_join("w", " ").alias("words"))
 
 
@@ -173,7 +173,7 @@ def lemmas(spark, sf):
 )
 def lemmatized(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", tx.vector_words(F.col("text")).alias("words"))
-    done = lemmatize(docs, "doc_id", "words", _lemmas(spark, sf))
+    done = lemmatize(docs, "doc_id", "words", stage(_lemmas(spark, sf), "lemmas"))
     return done.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -211,7 +211,8 @@ _ENCODE_TERMS = 2000
 )
 def encoding(spark, sf):
     docs = table(spark, sf, "documents")
-    vocabulary = fit_vocabulary(docs, "text", _ENCODE_TERMS).table(spark)
+    words = docs.select("doc_id", "text")
+    vocabulary = fit_vocabulary(words, "text", _ENCODE_TERMS).table(spark)
     coded = encode_fixed(docs, "doc_id", "text", vocabulary)
     as_text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return coded.select("doc_id", as_text("input_ids"), as_text("attention_mask"), "used", "truncated")
