@@ -89,30 +89,33 @@ def resize_bilinear(image: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     return np.floor(out + 0.5) if image.dtype == np.uint8 else out
 
 
-def crop_faces(rows: DataFrame, size: tuple[int, int] = FACE_SIZE, normalize: bool = True) -> DataFrame:
-    """Crops, resizes, turns blue-first to red-first and scales each (image, box) row. Empty
-    crops drop out. Input: name, face_id, box, confidence and the image columns."""
+def crop_faces(
+    images: DataFrame, min_confidence: float = MIN_CONFIDENCE, size: tuple[int, int] = FACE_SIZE, normalize: bool = True
+) -> DataFrame:
+    """Crops, resizes, turns blue-first to red-first and scales the kept faces of image rows
+    with a ``faces`` column. Empty crops drop out, face_id counts them. An image travels to
+    its task once, however many faces it has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept, made = [], []
-            for at, (h, w, c, data, x, y, bw, bh) in enumerate(
-                zip(*(batch[k] for k in ("height", "width", "n_channels", "pixels", "x", "y", "w", "h")))
-            ):
-                region = np.frombuffer(data, np.uint8).reshape(h, w, c)[y : y + bh, x : x + bw]
-                if region.size == 0:
-                    continue
-                face = resize_bilinear(region, size)[:, :, ::-1]
-                made.append((face / 255.0 if normalize else face).ravel())
-                kept.append(at)
-            yield batch.iloc[kept][["name", "face_id", "x", "y", "w", "h", "confidence"]].assign(pixels=made)
-
-    flat = rows.select(
-        "name", "face_id", "confidence", "height", "width", "n_channels", "pixels",
-        "box.x", "box.y", "box.w", "box.h",
-    )
+            rows = []
+            for name, h, w, c, data, faces in batch.itertuples(index=False, name=None):
+                image = np.frombuffer(data, np.uint8).reshape(h, w, c)
+                for face_id, face in enumerate(faces, 1):
+                    box = face["box"]
+                    x, y, bw, bh = box["x"], box["y"], box["w"], box["h"]
+                    region = image[y : y + bh, x : x + bw]
+                    if region.size == 0:
+                        continue
+                    crop = resize_bilinear(region, size)[:, :, ::-1]
+                    pixels = (crop / 255.0 if normalize else crop).ravel()
+                    rows.append((name, face_id, x, y, bw, bh, face["confidence"], pixels))
+            yield pd.DataFrame(rows, columns=["name", "face_id", "x", "y", "w", "h", "confidence", "pixels"])
+
+    kept = F.filter("faces", lambda f: f["confidence"] >= min_confidence)
+    rows = images.select("name", "height", "width", "n_channels", "pixels", kept.alias("faces")).filter(F.size("faces") > 0)
     schema = "name string, face_id int, x int, y int, w int, h int, confidence double, pixels array<double>"
-    return flat.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def emotion_rows(faces: DataFrame, probability: str = "p1", positive_name: str = "sad", negative_name: str = "happy") -> DataFrame:

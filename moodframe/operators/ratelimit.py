@@ -2,9 +2,9 @@
 requests of the client were admitted in the last ``window`` seconds; refused ones do not
 count.
 
-The rule needs state, but only where a client is busy. Range counts over fixed time chunks
-find the requests that are admitted whatever came before (at most ``limit`` requests in
-their window), and the calm points where the state is known from the requests alone. Each
+The rule needs state, but only where a client is busy. Windows over fixed time chunks find
+the requests that are admitted whatever came before (at most ``limit`` requests in their
+window), and the calm points where the state is known from the requests alone. Each
 client's time line is cut there, so one very active client spreads over many tasks; only
 stretches with a doubtful request go through the sequential rule, streamed in order with a
 state of at most ``limit`` times. A stretch during which a client never falls calm is the
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,16 +39,23 @@ class Admission:
     def __init__(self, limit: int, window: int, times=()):
         self.limit, self.window, self.times = limit, window, deque(times)
 
-    def expire(self, now: int) -> None:
-        while self.times and now - self.times[0] >= self.window:
-            self.times.popleft()
-
-    def ask(self, now: int) -> bool:
-        self.expire(now)
-        if len(self.times) >= self.limit:
-            return False
-        self.times.append(now)
-        return True
+    def ask_sorted(self, at: np.ndarray) -> np.ndarray:
+        """Verdicts for times in order. Free places are given out in one go; without one, the
+        search jumps to the first request after the oldest admitted one leaves the window,
+        so refused requests cost no step of their own."""
+        admitted = np.zeros(len(at), bool)
+        i = 0
+        while i < len(at):
+            while self.times and at[i] - self.times[0] >= self.window:
+                self.times.popleft()
+            free = self.limit - len(self.times)
+            if free > 0:
+                admitted[i : i + free] = True
+                self.times.extend(at[i : i + free].tolist())
+                i += free
+            else:
+                i += int(np.searchsorted(at[i:], self.times[0] + self.window, "left"))
+        return admitted
 
 
 def _walk(limit: int, window: int):
@@ -56,13 +64,17 @@ def _walk(limit: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, rule = None, None
         for batch in batches:
-            verdicts = []
-            for client, stretch, at, warm in zip(batch["client"], batch["stretch"], batch["us"], batch["warm"]):
-                if (client, stretch) != current:
-                    current, rule = (client, stretch), Admission(limit, window)
-                verdicts.append(rule.ask(at) and not warm)
-            done = batch[~batch["warm"]].assign(admitted=[v for v, w in zip(verdicts, batch["warm"]) if not w])
-            yield done[["client", "request_id", "us", "admitted"]]
+            if batch.empty:
+                continue
+            client, stretch = batch["client"].to_numpy(), batch["stretch"].to_numpy()
+            times, admitted = batch["us"].to_numpy(), np.zeros(len(batch), bool)
+            turns = np.flatnonzero((client[1:] != client[:-1]) | (stretch[1:] != stretch[:-1])) + 1
+            for start, end in zip([0, *turns], [*turns, len(batch)]):
+                if (client[start], stretch[start]) != current:
+                    current, rule = (client[start], stretch[start]), Admission(limit, window)
+                admitted[start:end] = rule.ask_sorted(times[start:end])
+            fresh = ~batch["warm"].to_numpy()
+            yield batch.loc[fresh, ["client", "request_id", "us"]].assign(admitted=admitted[fresh])
 
     return run
 
@@ -84,12 +96,16 @@ def admit_requests(
     late = F.col("us") >= (own + 1) * chunk - 2 * window
     seen = base.select("*", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("chunk"))
     seen = seen.withColumn("mine", own == F.col("chunk"))
-    recent = W.partitionBy("client", "chunk").orderBy("us").rangeBetween(-(window - 1), 0)
-    counted = seen.withColumn("sure", F.count("*").over(recent) <= limit)
-    # Requests whose own look-back is not fully inside the chunk are only look-back themselves.
+    ordered = W.partitionBy("client", "chunk").orderBy("us", "request_id")
+    # Sure to be admitted: the request ``limit`` places before is out of the window. Requests
+    # whose own look-back is not fully inside the chunk are only look-back themselves.
+    far = F.lag("us", limit).over(ordered)
     usable = F.col("us") >= F.col("chunk") * chunk - window
-    counted = counted.withColumn("sure", F.col("sure") & usable)
-    calm = counted.withColumn("calm", F.min("sure").over(recent) & F.col("mine"))
+    counted = seen.withColumn("sure", usable & (far.isNull() | (F.col("us") - far >= window)))
+    # Calm: every request of the last window is sure. Both tests look at one row each, so
+    # their cost does not grow with the traffic inside a window.
+    doubt = F.max(F.when(~F.col("sure"), F.col("us"))).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    calm = counted.withColumn("calm", F.col("mine") & (doubt.isNull() | (F.col("us") - doubt >= window)))
     whole = W.partitionBy("client", "chunk")
     marked = calm.withColumn("cut", F.min(F.when(F.col("calm"), F.col("us"))).over(whole))
     marked = stage(marked.select("client", "request_id", "us", "chunk", "mine", "sure", "cut"), "requests")

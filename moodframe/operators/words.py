@@ -95,41 +95,34 @@ def word_and_pair_counts(
     counts = stage(parts.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
 
     unigrams = counts.filter(F.col("b").isNull()).select(F.col("a").alias("term"), "n")
-    standard = unigrams.select("term", F.col("term").alias("form"))
-    bigrams = counts.filter(F.col("b").isNotNull())
+    bigrams = counts.filter(F.col("b").isNotNull()).select(F.concat_ws(" ", "a", "b").alias("term"), "n")
+    standard = unigrams.select("term", "n", F.col("term").alias("form"))
     if plurals:
-        unigram_totals = stage(merge_plurals(unigrams), "unigrams")
-        stem = F.expr("left(term, length(term) - 1)")
-        standard = unigrams.withColumn("_stem", F.when(_is_plural(F.col("term")), stem)).join(
-            unigrams.select(F.col("term").alias("_stem"), F.lit(True).alias("_f")), "_stem", "left"
-        ).select("term", F.when(F.col("_f"), F.col("_stem")).otherwise(F.col("term")).alias("form"))
-        text = F.concat_ws(" ", "a", "b")
-        merged = merge_plurals(bigrams.select(text.alias("term"), "n"))
-        bigrams = merged.select(
-            F.split_part("term", F.lit(" "), F.lit(1)).alias("a"),
-            F.split_part("term", F.lit(" "), F.lit(2)).alias("b"),
-            "n",
+        stems = unigrams.select(F.col("term").alias("_stem"), F.lit(True).alias("_f"))
+        stem = F.when(_is_plural(F.col("term")), F.expr("left(term, length(term) - 1)"))
+        standard = unigrams.withColumn("_stem", stem).join(stems, "_stem", "left").select(
+            "term", "n", F.when(F.col("_f"), F.col("_stem")).otherwise(F.col("term")).alias("form")
         )
-    else:
-        unigram_totals = unigrams
+        bigrams = merge_plurals(bigrams)
+    # One row per word: the form it counts under and the count of that form.
+    words = standard.groupBy("form").agg(F.collect_set("term").alias("_t"), F.sum("n").alias("c"))
+    words = stage(words.select("form", "c", F.explode("_t").alias("term")), "words")
+    unigram_totals = words.filter(F.col("term") == F.col("form")).select("term", F.col("c").alias("n"))
 
     total = unigrams.agg(F.sum("n").cast("double").alias("n")).scalar()
-    first = standard.select(F.col("term").alias("a"), F.col("form").alias("fa"))
-    second = standard.select(F.col("term").alias("b"), F.col("form").alias("fb"))
-    scored = (
-        bigrams.join(first, "a")
-        .join(second, "b")
-        .join(unigram_totals.select(F.col("term").alias("fa"), F.col("n").alias("ca")), "fa")
-        .join(unigram_totals.select(F.col("term").alias("fb"), F.col("n").alias("cb")), "fb")
-        .withColumn("score", likelihood_ratio(F.col("n").cast("double"), F.col("ca"), F.col("cb"), total))
-        .filter(F.col("score") > threshold)
+    first = words.select(F.col("term").alias("a"), F.col("form").alias("fa"), F.col("c").cast("double").alias("ca"))
+    second = words.select(F.col("term").alias("b"), F.col("form").alias("fb"), F.col("c").cast("double").alias("cb"))
+    split = bigrams.select(
+        F.split_part("term", F.lit(" "), F.lit(1)).alias("a"), F.split_part("term", F.lit(" "), F.lit(2)).alias("b"), "term", "n"
     )
-    passing = stage(scored.select("a", "b", "fa", "fb", "n", "score"), "collocations")
+    score = likelihood_ratio(F.col("n").cast("double"), F.col("ca"), F.col("cb"), total)
+    scored = split.join(first, "a").join(second, "b").filter(score > threshold)
+    passing = stage(scored.select("term", "fa", "fb", "n"), "collocations")
     taken = passing.select(F.explode(F.array("fa", "fb")).alias("term"), "n")
     taken = taken.groupBy("term").agg(F.sum("n").alias("used"))
-    words = (
+    left = (
         unigram_totals.join(taken, "term", "left")
         .select("term", (F.col("n") - F.coalesce("used", F.lit(0))).alias("n"))
         .filter(F.col("n") > 0)
     )
-    return words.unionByName(passing.select(F.concat_ws(" ", "a", "b").alias("term"), "n"))
+    return left.unionByName(passing.select("term", "n"))

@@ -120,8 +120,8 @@ def confident(spark, sf):
 
 
 def _crops(spark, sf, size=(2, 2)):
-    rows = im.confident_faces(_detections(spark, sf)).join(_pixel_images(spark, sf), "name")
-    return im.crop_faces(rows, size)
+    rows = _pixel_images(spark, sf).join(_detections(spark, sf).select("name", "faces"), "name")
+    return im.crop_faces(rows, size=size)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 200_000
 _local_folder: list[str] = []
+_staged: list[str] = []
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -48,9 +49,21 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> int:
+    """Deletes the folders ``stage`` wrote in this program; call it when results are saved."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _staged:
+        path = hadoop(_staged.pop())
+        done += int(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def fits(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> bool:
     """True if the frame has at most ``max_rows`` rows. Reads no more than that per task."""
     return df.limit(max_rows + 1).count() <= max_rows

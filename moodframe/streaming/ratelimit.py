@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,14 +25,11 @@ def admit_stream(
         newest, times = state.get if state.exists else (-(2**62), [])
         rule = Admission(limit, window, times)
         rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        verdicts = []
-        for at in rows["us"]:
-            if at < newest:
-                verdicts.append(False)
-                continue
-            newest = int(at)
-            verdicts.append(rule.ask(newest))
-        state.update((newest, [int(t) for t in rule.times]))
+        times = rows["us"].to_numpy()
+        late = times < newest
+        verdicts = np.zeros(len(times), bool)
+        verdicts[~late] = rule.ask_sorted(times[~late])
+        state.update((max(int(newest), int(times[-1])), list(rule.times)))
         yield rows.assign(client=key[0], admitted=verdicts)[["client", "request_id", "us", "admitted"]]
 
     return requests.groupBy("client").applyInPandasWithState(

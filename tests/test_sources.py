@@ -114,7 +114,7 @@ def test_crop_turns_to_red_first_and_skips_empty(spark, tmp_path):
     detections = spark.createDataFrame(faces, f"name string, faces {im.FACES}")
     kept = im.confident_faces(detections)
     assert [(r["name"], r["face_id"]) for r in kept.orderBy("face_id").collect()] == [("a 1.png", 1), ("a 1.png", 2)]
-    crops = im.crop_faces(kept.join(images, "name"), (2, 2)).collect()
+    crops = im.crop_faces(images.join(detections, "name"), size=(2, 2)).collect()
     assert [(c["face_id"], c["pixels"][:3]) for c in crops] == [(2, [1.0, 0.0, 0.0])]
     emotions = im.emotion_rows(spark.createDataFrame([("a 1.png", 2, 0.9, 0.5)], "name string, face_id int, confidence double, p1 double"))
     assert emotions.first()["dominant_emotion"] == "happy"
