@@ -48,15 +48,18 @@ def keep_unique_retweets(
     """A post with retweets stays only if no equal (text, sentiment) came earlier; one
     without always stays.
 
-    Only the earliest post of each group can matter for the first rule, and a minimum is
-    combined before the shuffle: a text that makes up a third of all posts is one row per
-    task. Posts without retweets are not shuffled for their own sake."""
-    others = [c for c in posts.columns if c not in ("text", "sentiment", arrival)]
-    first = posts.groupBy("text", "sentiment").agg(
-        F.min(F.struct(F.col(arrival).alias("_at"), *others)).alias("_f")
+    Equal posts meet by digest: the earliest arrival per digest is a minimum, combined before
+    the shuffle, of narrow rows. Retweeted posts are then matched on (digest, arrival), which
+    no two posts share, so a text that makes up a third of all posts is no hot key. Posts
+    without retweets are not shuffled for their own sake."""
+    digest = F.sha2(
+        F.concat(F.coalesce("sentiment", F.lit("\x00")), F.lit("\x1f"), F.coalesce("text", F.lit("\x00"))), 256
     )
-    kept = first.select("text", "sentiment", F.col("_f._at").alias(arrival), *[F.col(f"_f.{c}").alias(c) for c in others])
-    return posts.filter(F.col(retweets) <= 0).unionByName(kept.filter(F.col(retweets) > 0))
+    # Never null, and said to be: else a null check would compute the cleaned text once more.
+    keyed = posts.withColumn("_d", F.coalesce(digest, F.lit("")))
+    first = keyed.groupBy("_d").agg(F.min(arrival).alias(arrival))
+    kept = keyed.filter(F.col(retweets) > 0).join(first, ["_d", arrival], "left_semi").drop("_d")
+    return posts.filter(F.col(retweets) <= 0).unionByName(kept)
 
 
 def sentiment_shares(posts: DataFrame) -> DataFrame:

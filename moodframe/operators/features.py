@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +39,23 @@ class Vocabulary:
         return [math.log((1 + self.n_docs) / (1 + d)) + 1 for d in self.doc_counts]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = list(zip(range(len(self.terms)), self.terms, self.counts, self.doc_counts, self.idf))
-        return spark.createDataFrame(rows, "idx int, term string, n long, df long, idf double")
+        columns = {
+            "idx": pa.array(range(len(self.terms)), pa.int32()),
+            "term": pa.array(self.terms, pa.string()),
+            "n": pa.array(self.counts, pa.int64()),
+            "df": pa.array(self.doc_counts, pa.int64()),
+            "idf": pa.array(self.idf, pa.float64()),
+        }
+        return spark.createDataFrame(pa.table(columns))
+
+    @cached_property
+    def counter(self) -> CountVectorizerModel:
+        """Spark's count vectoriser over these terms, built once: the terms cross to the JVM
+        in one piece, as one by one takes seconds for a full vocabulary."""
+        jvm = SparkContext.getOrCreate()._jvm
+        array = jvm.org.apache.commons.lang3.StringUtils.split("\n".join(self.terms), "\n")
+        model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", array)
+        return model.setInputCol("_words").setOutputCol("_counts")
 
 
 def _term_rows(df: DataFrame, words: Column, *keys: str) -> DataFrame:
@@ -108,8 +126,8 @@ def fold_vocabularies(
 def count_vectors(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out: str = "counts") -> DataFrame:
     """Adds the sparse count vector; unseen terms drop out."""
     words = df.withColumn("_words", words_of(df, text_col))
-    model = CountVectorizerModel.from_vocabulary(vocabulary.terms, inputCol="_words", outputCol=out)
-    return model.transform(words).drop("_words")
+    counted = vocabulary.counter.transform(words).drop("_words")
+    return counted if out == "_counts" else counted.withColumnRenamed("_counts", out)
 
 
 def tfidf_vectors(

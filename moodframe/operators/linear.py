@@ -85,14 +85,20 @@ class LinearModel:
     best_round: int = 0
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, float(w)) for i, w in enumerate(self.weights)]
-        return spark.createDataFrame(rows, "idx int, w0 double")
+        return weight_table(spark, [self])
 
     def history_table(self, spark: SparkSession) -> DataFrame:
         schema = "round int, train_loss double, valid_loss double, valid_f1 double, seconds double"
         return spark.createDataFrame([tuple(h.values()) for h in self.history], schema)
 
 
+def weight_table(spark: SparkSession, models: list[LinearModel]) -> DataFrame:
+    """idx, w0, w1, ...: one weight column per model."""
+    columns = {"idx": pa.array(range(len(models[0].weights)), pa.int32())}
+    columns |= {f"w{i}": pa.array(m.weights, pa.float64()) for i, m in enumerate(models)}
+    return spark.createDataFrame(pa.table(columns))
+
+
 def training_rows(df: DataFrame, label_col: str = "label", weight_col: str | None = None) -> DataFrame:
     """Staged (label, row_weight, idx, val): written once, read each round."""
     weight = F.col(weight_col) if weight_col else F.lit(1.0)

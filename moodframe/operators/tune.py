@@ -20,7 +20,7 @@ from moodframe.operators.features import (
     sparse_arrays,
     tfidf_vectors,
 )
-from moodframe.operators.linear import fit_linear, training_rows
+from moodframe.operators.linear import fit_linear, training_rows, weight_table
 from moodframe.operators.neighbors import nearest_neighbors
 from moodframe.session import stage
 
@@ -132,9 +132,7 @@ def linear_fold_scores(
         size = len(vocabulary.terms)
         fits = [partial(fit_linear, rows, size, alpha=alpha, staged=True, **chosen) for chosen in settings]
         models = _side_by_side(fits, parallelism)
-        table = [(i, *(float(m.weights[i]) for m in models)) for i in range(size)]
-        schema = "idx int, " + ", ".join(f"w{i} double" for i in range(len(models)))
-        scored = margins(held, df.sparkSession.createDataFrame(table, schema), ["doc_id", "label"])
+        scored = margins(held, weight_table(df.sparkSession, models), ["doc_id", "label"])
         hits = [
             F.struct(
                 F.lit(i).alias("setting_order"), F.lit(str(chosen)).alias("setting"),

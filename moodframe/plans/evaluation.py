@@ -240,14 +240,33 @@ def nemenyi_distances(spark, sf):
     return out.select("model_a", "model_b", F.round("distance", 9).alias("distance"), F.round("q", 6).alias("q"))
 
 
-@query("e14_nemenyi")
+def _normal_cdf(x: str) -> str:
+    """Normal distribution function by a rational formula (Abramowitz and Stegun 7.1.26)."""
+    t = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
+    poly = f"(((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t}"
+    return f"(0.5 * (1 + sign({x}) * (1 - {poly} * exp(-({x}) * ({x}) / 2))))"
+
+
+_NEMENYI = f"""{_RANKS}, m AS (SELECT model, avg(rank) AS r, count(*) AS n FROM ranked GROUP BY model),
+    pairs AS (SELECT a.model AS model_a, b.model AS model_b, abs(a.r - b.r) / sqrt(5 * 6 / (6 * a.n)) * sqrt(2) AS q FROM m a JOIN m b ON a.model < b.model),
+    grid AS (SELECT -8 + i * 0.004::DOUBLE AS z, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(4001) t(i)),
+    tails AS (SELECT model_a, model_b, greatest(0, 1 - sum(w * 5 * exp(-z * z / 2) / sqrt(2 * pi()) * pow(greatest({_normal_cdf('z')} - {_normal_cdf('(z - q)')}, 0), 4))
+      * 0.004 / 3) AS p FROM pairs, grid GROUP BY model_a, model_b)"""
+
+
+@query("e14_nemenyi", f"WITH {_NEMENYI} SELECT model_a, model_b, round(p, 4) AS p_value FROM tails")
 def nemenyi(spark, sf):
-    return rt.nemenyi(_metrics(spark, sf))
+    return rt.nemenyi(_metrics(spark, sf)).select("model_a", "model_b", F.round("p_value", 4).alias("p_value"))
 
 
-@query("e15_significance_levels")
+@query(
+    "e15_significance_levels",
+    f"""WITH {_NEMENYI}, both AS (SELECT model_a AS a, model_b AS b, p FROM tails UNION ALL SELECT model_b, model_a, p FROM tails)
+    SELECT a, b, round(p, 4) AS p_value, (p < 0.05)::INT + (p < 0.01)::INT + (p < 0.001)::INT AS level FROM both
+    UNION ALL SELECT DISTINCT a, a, -1.0, -1 FROM both""",
+)
 def significance_levels(spark, sf):
-    return rt.significance_long(rt.nemenyi(_metrics(spark, sf)))
+    return rt.significance_long(rt.nemenyi(_metrics(spark, sf))).withColumn("p_value", F.round("p_value", 4))
 
 
 # The distances stand in for the p-values, which SQL cannot compute: the shape is checked.
