@@ -111,13 +111,13 @@ def full_gradient(rows: DataFrame, loss: str, weights: np.ndarray) -> tuple[np.n
     """Mean gradient and mean loss at ``weights`` over staged rows: one job."""
     shipped = rows.sparkSession.sparkContext.broadcast(weights)
     parts = rows.mapInArrow(_partial_gradient(loss, shipped), "idx int, g double")
-    sums = parts.groupBy("idx").agg(F.sum("g").alias("g")).toPandas()
+    sums = parts.groupBy("idx").agg(F.sum("g").alias("g")).toArrow()
     shipped.unpersist()
-    marks = dict(zip(sums["idx"], sums["g"]))
+    idx, g = sums["idx"].to_numpy(), sums["g"].to_numpy()
+    marks = dict(zip(idx[idx < 0].tolist(), g[idx < 0].tolist()))
     n = marks.get(-2, 0.0)
     grad = np.zeros(len(weights))
-    terms = sums[sums["idx"] >= 0]
-    grad[terms["idx"].to_numpy()] = terms["g"].to_numpy()
+    grad[idx[idx >= 0]] = g[idx >= 0]
     tp, fp, fn = (marks.get(i, 0.0) for i in (-3, -4, -5))
     f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
     return (grad / n if n else grad), {"loss": marks.get(-1, 0.0) / n if n else math.nan, "f1": f1, "n": n}

@@ -261,9 +261,9 @@ def nemenyi(spark, sf):
 
 @query(
     "e15_significance_levels",
-    f"""WITH {_NEMENYI}, both AS (SELECT model_a AS a, model_b AS b, p FROM tails UNION ALL SELECT model_b, model_a, p FROM tails)
-    SELECT a, b, round(p, 4) AS p_value, (p < 0.05)::INT + (p < 0.01)::INT + (p < 0.001)::INT AS level FROM both
-    UNION ALL SELECT DISTINCT a, a, -1.0, -1 FROM both""",
+    f"""WITH {_NEMENYI}, cells AS (SELECT model_a AS a, model_b AS b, p FROM tails UNION ALL SELECT model_b, model_a, p FROM tails)
+    SELECT a, b, round(p, 4) AS p_value, (p < 0.05)::INT + (p < 0.01)::INT + (p < 0.001)::INT AS level FROM cells
+    UNION ALL SELECT DISTINCT a, a, -1.0, -1 FROM cells""",
 )
 def significance_levels(spark, sf):
     return rt.significance_long(rt.nemenyi(_metrics(spark, sf))).withColumn("p_value", F.round("p_value", 4))

@@ -111,7 +111,7 @@ def _detections(spark, sf):
     )
 
 
-@query("i4_confident_faces", f"WITH {_DETECTIONS} SELECT name, face_id, x, y, w, h, confidence::DOUBLE AS confidence FROM kept")
+@query("i4_confident_faces", f"WITH {_DETECTIONS} SELECT name, face_id, x, y, w::BIGINT AS w, h::BIGINT AS h, confidence::DOUBLE AS confidence FROM kept")
 def confident(spark, sf):
     rows = im.confident_faces(_detections(spark, sf))
     return rows.select(

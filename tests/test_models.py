@@ -87,6 +87,24 @@ def test_loss_falls_and_model_separates(corpus, penalty):
     assert scored.filter((F.col("m0") > 0).cast("int") != F.col("label")).count() == 0
 
 
+def test_logistic_regression_meets_the_first_order_condition(corpus):
+    noisy = corpus.withColumn("label", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    vocabulary = ft.fit_vocabulary(noisy)
+    train = ft.tfidf_vectors(noisy, vocabulary)
+    fitted = ln.logistic_regression(60).fit(train.select("label", "features"))
+    w = fitted.coefficients.toArray()
+    grad, _ = ln.full_gradient(ln.training_rows(train), "log", w)
+    assert fitted.intercept == 0.0 and np.abs(grad + w / 60).max() < 1e-4
+
+
+def test_squared_hinge_svm_approaches_its_optimum(corpus):
+    vocabulary = ft.fit_vocabulary(corpus)
+    train = ft.tfidf_vectors(corpus, vocabulary)
+    model = ln.fit_squared_hinge_svm(train, len(vocabulary.terms), rounds=40)
+    grad, _ = ln.full_gradient(ln.training_rows(train), "squared_hinge", model.weights)
+    assert np.abs(grad + model.weights / 60).max() < 1e-3
+
+
 def test_early_stop_sequence():
     assert ln.early_stop_round([1.0, 0.8, 0.9, 0.95, 0.99, 0.1], 3) == (2, 5)
     assert ln.early_stop_round([1.0, 0.8, 0.9, 0.95, 0.7], 3) == (5, 5)
