@@ -9,6 +9,7 @@ from moodframe.operators import images as im
 from moodframe.plans.registry import query, table
 from moodframe.plans.words import _POSTS, _posts
 from moodframe.session import new_folder
+from moodframe.sources.images import load_labels
 from moodframe.sources import tables as tb
 from moodframe.streaming import logstreams as ls
 from moodframe.functions.lexicon import SAMPLE_POLARITY
@@ -85,6 +86,15 @@ def aligned(spark, sf):
     return im.align_labels(images, table(spark, sf, "labels").select(name, F.col("quality").alias("label")))
 
 
+@query("s5_label_file", "SELECT doc_id::VARCHAR AS name, quality AS label FROM labels")
+def label_file(spark, sf):
+    """Labels by position: the second column of a label file counts, whatever it is called."""
+    path = new_folder(spark, "labels")
+    rows = table(spark, sf, "labels").select(F.col("doc_id").alias("file"), "quality", "toxic")
+    rows.write.option("header", True).csv(path)
+    return load_labels(spark, path)
+
+
 # Each image gets up to four faces; every ninth image could not be read.
 _DETECTIONS = """detections AS (SELECT vec_id, vec_id::VARCHAR AS name, i, (i * 2) AS x, i AS y,
       CASE WHEN (vec_id + i) % 5 = 0 THEN 0 ELSE 4 END AS w, 4 AS h, (80 + (vec_id * 7 + i * 5) % 20) / 100.0 AS confidence,
