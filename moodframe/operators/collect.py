@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import clean_collected_post, vector_words
-from moodframe.session import lookup_join
+from moodframe.session import fits
 
 CUT = 0.3  # fixed value: polarity threshold
 
@@ -25,11 +25,13 @@ def known_polarities(text: Column, lexicon: dict[str, float]) -> Column:
 
 
 def table_polarity(df: DataFrame, key: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """The same against a lexicon table (word, polarity). Words are counted inside each text
-    first, so a frequent word is one row per text."""
+    """Mean polarity of the known words against a lexicon table (word, polarity). A lexicon
+    of checked size is met where the words lie, and one row per text is shuffled; for a
+    larger one, words are counted inside each text first, then joined."""
     words = df.select(key, F.explode(vector_words(F.col(text_col))).alias("word"))
-    counted = words.groupBy(key, "word").agg(F.count("*").alias("_n"))
-    hits = lookup_join(counted, lexicon, "word")
+    if fits(lexicon):
+        return words.join(F.broadcast(lexicon), "word").groupBy(key).agg(F.avg("polarity").alias("polarity"))
+    hits = words.groupBy(key, "word").agg(F.count("*").alias("_n")).join(lexicon, "word")
     return hits.groupBy(key).agg((F.sum(F.col("polarity") * F.col("_n")) / F.sum("_n")).alias("polarity"))
 
 

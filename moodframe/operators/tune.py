@@ -24,7 +24,8 @@ from moodframe.operators.linear import fit_linear, training_rows, weight_table
 from moodframe.operators.neighbors import nearest_neighbors
 from moodframe.session import stage
 
-# The grids of the original runs.
+# The grids of the original runs. Spark's trees end at depth 30, and a minimum
+# split size becomes half of it per child. Use as ``ml_grid_search(decision_tree(), df, TREE_GRID)``.
 LINEAR_GRID = {"loss": ["log", "modified_huber", "hinge"], "penalty": ["elasticnet", "l2"], "rounds": [25, 50, 75]}
 TREE_GRID = {"impurity": ["gini", "entropy"], "maxDepth": [20, 30], "minInstancesPerNode": [25, 37, 50]}
 FOREST_GRID = {

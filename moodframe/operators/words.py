@@ -79,23 +79,17 @@ def word_and_pair_counts(
     count off both its words, and words left with nothing drop out. Pairs are built inside
     each text, next to the words, so no pair crosses two texts."""
     drops = sorted({w.lower() for w in stop_words})
+    a, b = F.col("a"), F.col("b")
+    # One row per word with the word after it: it counts the word and the pair at once.
     arrays = df.select(cloud_words(F.col(text_col)).alias("w"))
-    pairs = F.when(
-        F.size("w") > 1,
-        F.zip_with(
-            F.slice("w", F.lit(1), F.size("w") - 1),
-            F.slice("w", F.lit(2), F.size("w") - 1),
-            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-        ),
-    ).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-    singles = F.transform("w", lambda a: F.struct(a.alias("a"), F.lit(None).cast("string").alias("b")))
-    parts = arrays.select(F.explode(F.concat(singles, pairs)).alias("p")).select("p.a", "p.b")
+    beside = F.transform("w", lambda w, i: F.struct(w.alias("a"), F.get("w", i + 1).alias("b")))
+    parts = arrays.select(F.explode(beside).alias("p")).select("p.a", "p.b")
     if drops:
-        parts = parts.filter(~F.col("a").isin(drops) & (F.col("b").isNull() | ~F.col("b").isin(drops)))
+        parts = parts.filter(~a.isin(drops)).select("a", F.when(~b.isin(drops), b).alias("b"))
     counts = stage(parts.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
 
-    unigrams = counts.filter(F.col("b").isNull()).select(F.col("a").alias("term"), "n")
-    bigrams = counts.filter(F.col("b").isNotNull()).select(F.concat_ws(" ", "a", "b").alias("term"), "n")
+    unigrams = counts.groupBy(a.alias("term")).agg(F.sum("n").alias("n"))
+    bigrams = counts.filter(b.isNotNull()).select(F.concat_ws(" ", "a", "b").alias("term"), "n")
     standard = unigrams.select("term", "n", F.col("term").alias("form"))
     if plurals:
         stems = unigrams.select(F.col("term").alias("_stem"), F.lit(True).alias("_f"))

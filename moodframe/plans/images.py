@@ -14,8 +14,6 @@ from moodframe.sources import tables as tb
 from moodframe.streaming import logstreams as ls
 from moodframe.functions.lexicon import SAMPLE_POLARITY
 
-_LEVEL = "(floor(({} + 1) * 127.5))::INT"
-
 
 def _pixel_images(spark, sf):
     """(name, height, width, n_channels, pixels): bytes from the embedding values."""

@@ -23,7 +23,6 @@ NOW, DAYS = "2024-01-31 00:00:00", 7
 
 _LOG = """log AS (SELECT event_id AS id, user_id, ts AS created_at, CASE WHEN event_type = 'error' THEN 'Depressed' ELSE 'Not depressed' END AS prediction,
       value AS confidence, value / 100 AS inference_time FROM events)"""
-_US = "epoch_us({})"
 
 
 def _as_log(events):

@@ -299,6 +299,15 @@ def tree_grid(spark, sf):
     return tn.grid_report(search, spark)
 
 
+@query("m18_forest_grid")
+def forest_grid(spark, sf):
+    rows = ml.pixel_vectors(table(spark, sf, "embeddings"), "embedding")
+    rows = stage(rows.select("features", (F.col("label") % 2).cast("double").alias("label")), "pixels")
+    forest = ml.random_forest(trees=5, max_depth=5, min_split=20)
+    search = tn.ml_grid_search(forest, rows, {"numTrees": [3, 6], "featureSubsetStrategy": ["sqrt", "log2"]}, folds=2)
+    return tn.grid_report(search, spark)
+
+
 # --- neighbours -------------------------------------------------------------------------
 
 
