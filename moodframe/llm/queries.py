@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import quality_rules, toxicity
+from moodframe.llm import near_duplicates, quality_rules, source_mix, toxicity
+from moodframe.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +42,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_rules.fit_quality(docs, table(spark, sf_dir, "labels"))
     judged = quality_rules.judge_quality(docs, model)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicate_groups(docs, words=2, percent=80)
+
+
+@query("op7_source_mix", source_mix.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = stage(source_mix.measured(docs).drop("text"), "sized")
+    return source_mix.mix_sources(sized).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
