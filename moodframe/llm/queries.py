@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import near_duplicates, quality_rules, source_mix, toxicity
+from moodframe.llm import near_duplicates, packing, quality_rules, source_mix, toxicity
 from moodframe.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sized = stage(source_mix.measured(docs).drop("text"), "sized")
     return source_mix.mix_sources(sized).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
