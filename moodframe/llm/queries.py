@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import near_duplicates, packing, quality_rules, source_mix, toxicity
+from moodframe.llm import near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, warc
 from moodframe.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def vocabulary(name: str) -> str:
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, width=2)
+
+
+@query("op8_warc", warc.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
