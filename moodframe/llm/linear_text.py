@@ -65,13 +65,16 @@ def sparse_rows(column: pa.Array, sizes: tuple[int, ...], buckets: int, pairs: b
                 continue
             owner, value, count = distinct_pairs(np.concatenate([p[2] for p in own]), np.concatenate([p[1] + shift[p[0]] for p in own]))
             total = np.bincount(owner, count, len(offsets) - 1)
-            rows.append(owner + first)
-            ids.append(value)
-            weights.append(count / total[owner])
+            rows.append((owner + first).astype(np.int32))
+            ids.append(value.astype(np.int32))
+            weights.append((count / total[owner]).astype(np.float32))
     if not rows:
         return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
     row = np.concatenate(rows)
-    order = np.argsort(row, kind="stable")
+    rows.clear()
+    if not pairs:  # already in the order of the texts
+        return np.searchsorted(row, np.arange(len(column) + 1)), np.concatenate(ids), np.concatenate(weights)
+    order = np.argsort(row, kind="stable").astype(np.int32)
     bounds = np.searchsorted(row[order], np.arange(len(column) + 1))
     return bounds, np.concatenate(ids)[order], np.concatenate(weights)[order]
 

@@ -17,7 +17,7 @@ from moodframe.llm.textblocks import crc32_text, owners, text_blocks
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 17
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 50_000
 
 
