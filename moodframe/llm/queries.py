@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, warc
+from moodframe.llm import language_model, near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, vector_search, warc
 from moodframe.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_warc", warc.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op2_exact_top_k", vector_search.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.exact_top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
+@query("op5_language_model")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), language_model.default_held_out)
