@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import language_model, near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, vector_search, warc
+from moodframe.llm import exact_substrings, language_model, near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, vector_search, warc
 from moodframe.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_language_model")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), language_model.default_held_out)
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_substrings.remove_repeats(docs).drop("text")
