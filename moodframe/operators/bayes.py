@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from moodframe.operators.features import long_rows
+from moodframe.operators.features import MAX_FEATURES_LIMIT, long_rows, sparse_arrays
 
 ALPHA = 0.1  # fixed value: smoothing of the chosen model
 ALPHA_GRID = [0.00001, 0.0001, 0.001, 0.1, 1, 10, 100, 1000]  # fixed values
@@ -46,14 +49,35 @@ def fit_bayes(sums: DataFrame, alphas=(ALPHA,), n_terms: int | None = None) -> D
 def margins(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of value * weight per row, for each weight column, as m0, m1, ...
 
-    The weight table is capped by the vocabulary, so it is broadcast; the sums are partly
-    made before the shuffle, which carries one narrow row per text."""
+    The weight table has a row per vocabulary term, at most ``MAX_FEATURES_LIMIT``, which is
+    checked; it goes to every task, where each row's vector is multiplied in place: no shuffle."""
     names = [c for c in weights.columns if c.startswith("w")]
-    long = long_rows(rows.select(*keys, "features"))
-    joined = long.join(F.broadcast(weights), "idx", "left")
-    return joined.groupBy(*keys).agg(
-        *[F.coalesce(F.sum(F.col("val") * F.col(w)), F.lit(0.0)).alias("m" + w[1:]) for w in names]
-    )
+    table = weights.select("idx", *names).limit(MAX_FEATURES_LIMIT + 1).toArrow()
+    if table.num_rows > MAX_FEATURES_LIMIT:
+        raise ValueError(f"more than {MAX_FEATURES_LIMIT} weights")
+    places = table["idx"].to_numpy()
+    dense = np.zeros((int(places.max(initial=-1)) + 1, len(names)))
+    for k, name in enumerate(names):
+        dense[places, k] = table[name].to_numpy()
+    shipped = rows.sparkSession.sparkContext.broadcast(dense)
+    found = rows if "idx" in rows.columns else sparse_arrays(rows.select(*keys, "features"))
+    schema = StructType(found.select(*keys).schema.fields)
+    for name in names:
+        schema = schema.add("m" + name[1:], DoubleType())
+
+    def run(batches):
+        w = shipped.value
+        for batch in batches:
+            lists = batch.column("idx")
+            idx = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            val = batch.column("val").flatten().to_numpy(zero_copy_only=False).astype(float)
+            known = idx < len(w)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))[known]
+            idx, val = idx[known], val[known]
+            sums = [pa.array(np.bincount(owner, val * w[idx, k], batch.num_rows)) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *sums], schema.names)
+
+    return found.select(*keys, "idx", "val").mapInArrow(run, schema)
 
 
 def with_probability(scored: DataFrame, margin: str = "m0") -> DataFrame:

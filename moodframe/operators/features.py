@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import vector_words
+from moodframe.session import stage
 
 MAX_FEATURES = 30_000
 MAX_FEATURES_LIMIT = 1_000_000
@@ -86,10 +87,20 @@ def term_counts(df: DataFrame, words: Column, *keys: str) -> DataFrame:
 def _take(counts: DataFrame, n_docs: int, max_features: int) -> Vocabulary:
     if not 0 < max_features <= MAX_FEATURES_LIMIT:
         raise ValueError(f"max_features must be 1..{MAX_FEATURES_LIMIT}")
-    rows = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()
+    rows = _frequent(stage(counts, "counts"), max_features).orderBy(F.desc("n"), "term").limit(max_features).collect()
     return Vocabulary([r["term"] for r in rows], [r["n"] for r in rows], [r["df"] for r in rows], n_docs)
 
 
+def _frequent(counts: DataFrame, max_features: int) -> DataFrame:
+    """Terms at least as frequent as the last one kept: a histogram of the counts, which has few
+    distinct values, gives the threshold, so rare terms never leave their tasks."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("terms"))
+    above = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    kept = sizes.withColumn("_above", F.coalesce(F.sum("terms").over(above), F.lit(0))).filter(F.col("_above") < max_features)
+    least = kept.agg(F.min("n")).first()[0]
+    return counts if least is None else counts.filter(F.col("n") >= least)
+
+
 def words_of(df: DataFrame, text_col: str = "text") -> Column:
     """Token column of a frame: ``words`` if it is there already, else made from the text."""
     return F.col("words") if "words" in df.columns else vector_words(F.col(text_col))

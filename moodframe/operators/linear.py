@@ -185,6 +185,63 @@ def fit_linear(
     return model
 
 
+def _partial_gradients(losses: list[str], weights):
+    """Task body: one gradient per loss and weight row, summed over the task's batches."""
+
+    def run(batches):
+        w = weights.value
+        grads = np.zeros(w.shape)
+        for batch in batches:
+            lists = batch.column("idx")
+            idx = lists.flatten().to_numpy(zero_copy_only=False)
+            val = batch.column("val").flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            y = np.where(batch.column("label").to_numpy(zero_copy_only=False) == 1, 1.0, -1.0)
+            for k, loss in enumerate(losses):
+                slope = loss_and_slope(loss, y * np.bincount(owner, val * w[k, idx], batch.num_rows))[1] * y
+                grads[k] += np.bincount(idx, val * slope[owner], w.shape[1])
+        seen = np.flatnonzero(grads.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(g[seen]) for g in grads]], ["idx", *[f"g{k}" for k in range(len(grads))]])
+
+    return run
+
+
+def fit_linear_grid(rows: DataFrame, borders: list[int], counts: list[int], settings: list[tuple[str, str]], stops: list[int], alpha: float = 1e-4) -> dict[int, np.ndarray]:
+    """Weights of all (loss, penalty) settings and all folds after each number of rounds in
+    ``stops``: one scan of the staged rows a round for the whole grid.
+
+    ``rows`` has label, idx and val, the terms of fold i being numbered from borders[i] to
+    borders[i + 1]; ``counts`` are the folds' training rows. The steps are those of
+    ``fit_linear``; fewer rounds are the start of the same path."""
+    losses = [loss for loss, _ in settings]
+    per_row = np.repeat(1.0 / np.maximum(counts, 1), np.diff(borders))
+    w = np.zeros((len(settings), borders[-1]))
+    look, momentum, kept = w.copy(), 1.0, {}
+    names = [f"g{k}" for k in range(len(settings))]
+    for number in range(1, max(stops) + 1):
+        shipped = rows.sparkSession.sparkContext.broadcast(look)
+        parts = rows.mapInArrow(_partial_gradients(losses, shipped), "idx int, " + ", ".join(f"{n} double" for n in names))
+        sums = parts.groupBy("idx").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        shipped.unpersist()
+        grads = np.zeros_like(w)
+        for k, name in enumerate(names):
+            grads[k, sums["idx"].to_numpy()] = sums[name].to_numpy()
+        faster = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        before, w = w, np.empty_like(w)
+        for k, (loss, penalty) in enumerate(settings):
+            l1 = alpha * L1_RATIO if penalty == "elasticnet" else 0.0
+            l2 = alpha * (1 - L1_RATIO) if penalty == "elasticnet" else alpha
+            curve = _CURVATURE[loss]
+            step = 1.0 / (curve + l2) if curve else 1.0 / math.sqrt(number)
+            moved = look[k] - step * (grads[k] * per_row + l2 * look[k])
+            w[k] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0.0)
+            look[k] = w[k] + ((momentum - 1) / faster) * (w[k] - before[k]) if curve else w[k]
+        momentum = faster
+        if number in stops:
+            kept[number] = w.copy()
+    return kept
+
+
 def early_stop_round(scores: list[float], patience: int, larger_is_better: bool = False) -> tuple[int, int]:
     """(best round, last round run) for a sequence of watched values, counted from 1."""
     best, best_at, waited = None, 0, 0

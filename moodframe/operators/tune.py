@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
-from itertools import product
+from itertools import accumulate, product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -20,7 +20,7 @@ from moodframe.operators.features import (
     sparse_arrays,
     tfidf_vectors,
 )
-from moodframe.operators.linear import fit_linear, training_rows, weight_table
+from moodframe.operators.linear import LinearModel, fit_linear_grid, weight_table
 from moodframe.operators.neighbors import nearest_neighbors
 from moodframe.session import stage
 
@@ -118,32 +118,36 @@ def neighbor_fold_scores(
 
 
 def linear_fold_scores(
-    df: DataFrame, fold_col: str, k: int, grid=None, alpha: float = 1e-4, max_features: int = MAX_FEATURES,
-    parallelism: int = 3,
+    df: DataFrame, fold_col: str, k: int, grid=None, alpha: float = 1e-4, max_features: int = MAX_FEATURES
 ) -> DataFrame:
-    """Accuracy per setting and fold of the linear trainer. Settings that differ only in the
-    number of rounds still train apart, as in the original grid. The weights of all settings
-    of a fold score its rows in one pass."""
+    """Accuracy per setting and fold of the linear trainer; each row is scored once, in the fold
+    that holds it out. All folds and settings train side by side, and settings that differ only
+    in the number of rounds share one path."""
     grid = LINEAR_GRID if grid is None else grid
-    settings = [dict(zip(grid, values)) for values in product(*grid.values())]
-    parts = []
-    for fold, vocabulary in enumerate(fold_vocabularies(df, fold_col, k, "text", max_features)):
-        rows = training_rows(tfidf_vectors(df.filter(F.col(fold_col) != fold), vocabulary))
-        held = tfidf_vectors(df.filter(F.col(fold_col) == fold), vocabulary)
-        size = len(vocabulary.terms)
-        fits = [partial(fit_linear, rows, size, alpha=alpha, staged=True, **chosen) for chosen in settings]
-        models = _side_by_side(fits, parallelism)
-        scored = margins(held, weight_table(df.sparkSession, models), ["doc_id", "label"])
-        hits = [
-            F.struct(
-                F.lit(i).alias("setting_order"), F.lit(str(chosen)).alias("setting"),
-                F.avg(((F.col(f"m{i}") > 0).cast("int") == F.col("label")).cast("double")).alias("accuracy"),
-            )
-            for i, chosen in enumerate(settings)
-        ]
-        line = scored.agg(F.array(*hits).alias("h")).select(F.explode("h").alias("h"))
-        parts.append(line.select("h.setting_order", "h.setting", F.lit(fold).alias("fold"), "h.accuracy"))
-    return reduce(DataFrame.unionByName, parts)
+    chosen = [dict(zip(grid, values)) for values in product(*grid.values())]
+    pairs = list(dict.fromkeys((c["loss"], c["penalty"]) for c in chosen))
+    vocabularies = fold_vocabularies(df, fold_col, k, "text", max_features)
+    borders = list(accumulate((len(v.terms) for v in vocabularies), initial=0))
+
+    def rows(fold, held):
+        own = df.filter((F.col(fold_col) == fold) if held else (F.col(fold_col) != fold))
+        arrays = sparse_arrays(tfidf_vectors(own, vocabularies[fold]).select("label", "features"))
+        return arrays.select(F.lit(fold).alias("fold"), "label", F.transform("idx", lambda i: i + F.lit(borders[fold])).alias("idx"), "val")
+
+    train, test = (stage(reduce(DataFrame.unionByName, [rows(f, held) for f in range(k)]), "grid-rows") for held in (False, True))
+    sizes = {r["fold"]: r["count"] for r in train.groupBy("fold").count().collect()}
+    stops = fit_linear_grid(train, borders, [sizes.get(f, 0) for f in range(k)], pairs, sorted(set(grid["rounds"])), alpha)
+    models = [LinearModel(stops[c["rounds"]][pairs.index((c["loss"], c["penalty"]))], c["loss"]) for c in chosen]
+    scored = margins(test, weight_table(df.sparkSession, models), ["fold", "label"])
+    hits = [
+        F.struct(
+            F.lit(i).alias("setting_order"), F.lit(str(c)).alias("setting"),
+            F.avg(((F.col(f"m{i}") > 0).cast("int") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("rows"),
+        )
+        for i, c in enumerate(chosen)
+    ]
+    line = scored.groupBy("fold").agg(F.array(*hits).alias("h")).select("fold", F.explode("h").alias("h"))
+    return line.select("h.setting_order", "h.setting", "fold", "h.accuracy", "h.rows")
 
 
 def ml_grid_search(estimator, df: DataFrame, grid: dict, folds: int = 5, seed: int = 42, parallelism: int = 2):

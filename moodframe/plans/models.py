@@ -22,7 +22,7 @@ from moodframe.session import new_folder, stage
 from moodframe.sources import tables as tb
 
 TRAIN_TEST = {"train": 0.7, "test": 0.3}
-TERMS = 2000  # vocabulary size of these queries
+TERMS = ft.MAX_FEATURES  # vocabulary size of these queries
 
 
 # --- splits and folds -------------------------------------------------------------------
@@ -202,7 +202,7 @@ def timed_bayes_fit(spark, sf):
 
 # --- cross-validation and grids ---------------------------------------------------------
 
-_CV_TERMS = 1000
+_CV_TERMS = ft.MAX_FEATURES
 _ALPHAS = ", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(nb.ALPHA_GRID))
 
 
@@ -261,7 +261,7 @@ def bayes_grid(spark, sf):
     return tn.rank_settings(means, "alpha_order")
 
 
-_KNN_TERMS = 500
+_KNN_TERMS = 5000  # fixed value
 
 
 @query(
@@ -286,8 +286,7 @@ def neighbor_grid(spark, sf):
 
 @query("m18_linear_grid")
 def linear_grid(spark, sf):
-    grid = {"loss": ["log", "modified_huber", "hinge"], "penalty": ["elasticnet", "l2"], "rounds": [4]}
-    scores = tn.linear_fold_scores(_folded(spark, sf), "fold", 2, grid, max_features=_KNN_TERMS)
+    scores = tn.linear_fold_scores(_folded(spark, sf), "fold", 5, max_features=_CV_TERMS)
     return tn.grid_means(scores, "setting_order", "setting")
 
 
@@ -374,7 +373,7 @@ def svm_first_step(spark, sf):
 @query("m10_linear_scores")
 def linear_scores(spark, sf):
     found, train, test = _parts(spark, sf)
-    model = ln.fit_linear(train, len(found.terms), "modified_huber", rounds=15)
+    model = ln.fit_linear(train, len(found.terms), "modified_huber", rounds=60)
     out = nb.margins(test, model.table(spark), ["doc_id", "label"])
     p1 = ln.huber_probability(F.col("m0"))
     return out.select("doc_id", "label", p1.alias("p1"), (1 - p1).alias("p0"), (F.col("m0") > 0).cast("int").alias("prediction"))
@@ -383,7 +382,7 @@ def linear_scores(spark, sf):
 @query("m13_squared_hinge_svm")
 def svm_scores(spark, sf):
     found, train, test = _parts(spark, sf)
-    model = ln.fit_squared_hinge_svm(train, len(found.terms), rounds=10)
+    model = ln.fit_squared_hinge_svm(train, len(found.terms), rounds=60)
     out = nb.margins(test, model.table(spark), ["doc_id", "label"])
     return out.select("doc_id", "label", (F.col("m0") > 0).cast("int").alias("prediction"))
 
@@ -392,7 +391,7 @@ def svm_scores(spark, sf):
 def hinge_variant(spark, sf):
     _, train, test = _parts(spark, sf)
     rows = stage(train.select("label", "features"), "vectors")
-    fitted = ln.hinge_svm(rows.count(), max_iter=20).fit(rows)
+    fitted = ln.hinge_svm(rows.count(), max_iter=100).fit(rows)
     return fitted.transform(test).select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -411,7 +410,7 @@ def _early_stopped(spark, sf, path=None):
     found = ft.fit_vocabulary(train.filter(~held), "text", TERMS)
     vectors = lambda d: ft.tfidf_vectors(d, found)
     return found, ln.fit_linear(
-        vectors(train.filter(~held)), len(found.terms), "log", rounds=12, valid=vectors(train.filter(held)),
+        vectors(train.filter(~held)), len(found.terms), "log", rounds=60, valid=vectors(train.filter(held)),
         monitor="f1", patience=3, checkpoint=path,
     )
 
@@ -433,7 +432,7 @@ def best_weights(spark, sf):
 @query("m25_training_history")
 def training_history(spark, sf):
     found, train, _ = _parts(spark, sf)
-    model = ln.fit_linear(train, len(found.terms), "modified_huber", rounds=8)
+    model = ln.fit_linear(train, len(found.terms), "modified_huber", rounds=60)
     path = new_folder(spark, "runs")
     wide = model.history_table(spark).select(F.concat(F.lit("round-"), "round").alias("run_id"), "train_loss")
     tb.append_rows(tb.metric_rows(wide, F.col("run_id"), ["train_loss"]), path)

@@ -137,12 +137,14 @@ def admitted_rows(spark, sf):
     "j1_union_sources",
     """SELECT doc_id, text, NULL::VARCHAR AS n_chars, 'de' AS part FROM documents WHERE lang = 'de'
     UNION ALL BY NAME SELECT doc_id, text, n_chars::VARCHAR AS n_chars, 'en' AS part FROM documents WHERE lang = 'en'
-    UNION ALL BY NAME SELECT n_chars::VARCHAR AS n_chars, doc_id, 'fr' AS part FROM documents WHERE lang = 'fr'""",
+    UNION ALL BY NAME SELECT n_chars::VARCHAR AS n_chars, doc_id, 'fr' AS part FROM documents WHERE lang = 'fr'
+    UNION ALL BY NAME SELECT doc_id, 'other' AS part, text FROM documents WHERE lang IS NULL OR lang NOT IN ('de', 'en', 'fr')""",
 )
 def union_sources(spark, sf):
     docs = table(spark, sf, "documents").withColumn("n_chars", F.col("n_chars").cast("string"))
     part = lambda lang, *cols: docs.filter(F.col("lang") == lang).select(*cols, F.lit(lang).alias("part"))
-    return ps.union_posts([part("de", "doc_id", "text"), part("en", "doc_id", "text", "n_chars"), part("fr", "n_chars", "doc_id")])
+    other = docs.filter(F.col("lang").isNull() | ~F.col("lang").isin("de", "en", "fr")).select("doc_id", F.lit("other").alias("part"), "text")
+    return ps.union_posts([part("de", "doc_id", "text"), part("en", "doc_id", "text", "n_chars"), part("fr", "n_chars", "doc_id"), other])
 
 
 @query(

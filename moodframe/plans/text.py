@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moodframe.functions import text as tx
 from moodframe.functions.lexicon import EMOTICON_WORDS, NOUN_SUFFIXES, post_cleaner_drops
-from moodframe.operators.features import fit_vocabulary
+from moodframe.operators.features import MAX_FEATURES_LIMIT, fit_vocabulary
 from moodframe.operators.lemmas import lemma_table, lemmatize
 from moodframe.operators.score import encode_fixed, length_cap
 from moodframe.plans.registry import query, quoted, table
@@ -192,7 +192,7 @@ def vector_words(spark, sf):
     return words.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
-_ENCODE_TERMS = 2000
+_ENCODE_TERMS = MAX_FEATURES_LIMIT
 
 
 @query(

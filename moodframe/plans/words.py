@@ -75,13 +75,13 @@ _PLURAL = lambda c: f"suffix({c}, 's') AND NOT suffix({c}, 'ss')"
     singles AS (SELECT unnest(w) AS term FROM lists),
     uni AS (SELECT term, count(*) AS n FROM singles WHERE term NOT IN ({_STOPS}) GROUP BY term),
     form AS (SELECT u.term, coalesce(s.term, u.term) AS form, u.n FROM uni u
-      LEFT JOIN uni s ON {_PLURAL('u.term')} AND s.term = left(u.term, length(u.term) - 1)),
+      LEFT JOIN uni s ON s.term = CASE WHEN {_PLURAL('u.term')} THEN left(u.term, length(u.term) - 1) END),
     utot AS (SELECT form AS term, sum(n)::BIGINT AS n FROM form GROUP BY form),
     pairs AS (SELECT unnest(list_zip(w[1:len(w) - 1], w[2:len(w)])) AS p FROM lists WHERE len(w) > 1),
     bi AS (SELECT p[1] || ' ' || p[2] AS term, count(*) AS n FROM pairs
       WHERE p[1] NOT IN ({_STOPS}) AND p[2] NOT IN ({_STOPS}) GROUP BY 1),
     bform AS (SELECT coalesce(s.term, b.term) AS term, sum(b.n)::BIGINT AS n FROM bi b
-      LEFT JOIN bi s ON {_PLURAL('b.term')} AND s.term = left(b.term, length(b.term) - 1) GROUP BY 1),
+      LEFT JOIN bi s ON s.term = CASE WHEN {_PLURAL('b.term')} THEN left(b.term, length(b.term) - 1) END GROUP BY 1),
     scored AS (SELECT b.term, b.n, fa.form AS fa, fb.form AS fb, ua.n::DOUBLE AS c1, ub.n::DOUBLE AS c2,
         (SELECT sum(n)::DOUBLE FROM uni) AS t FROM bform b
       JOIN form fa ON fa.term = split_part(b.term, ' ', 1) JOIN form fb ON fb.term = split_part(b.term, ' ', 2)
