@@ -6,15 +6,19 @@ a hashed value; in round T + i every element competes for bin i. A bin keeps the
 after one or two. A coordinate of two sketches agrees with the chance of their similarity.
 
 Bands of ``ROWS`` coordinates make buckets. A link at similarity 0.8 is missed with a chance
-of (1 - 0.8 ** ROWS) ** (T / ROWS), 5e-8 here. Inside a bucket members are compared with a few
-pivots a round, skipping pairs whose component is already the same, until every bucket either
-is one component or has been compared in full: no list of all pairs and no cap."""
+of (1 - 0.8 ** ROWS) ** (T / ROWS), 5e-8 here. Every member of a bucket is compared with the
+bucket's smallest member, its pivot. Members linked to the pivot hang together already. Any
+other pair x, y of a bucket has an intersection of |p| minus the elements of the pivot p that x
+or y lacks, plus what the two share outside p. Small bit maps of the lacking and the outside
+elements bound both parts, so a pair is met again only if the bound allows a link and it either
+shares an element outside the pivot (looked up by element) or needs none. This loses no link,
+and a hot bucket costs one comparison a member and a few for those at the rim."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.llm.components import connected_components
@@ -103,21 +107,72 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, common, linked, rest, whole, marks) of the pairs (a, b) by full sets:
+    linked if 100 * intersection >= percent * union; rest are elements of a outside b, of which
+    so many, in the order of their values, that a partner sharing enough of them with a shares
+    one of these; whole if they are all of them. marks are two maps of 256 bits, of the elements
+    of a outside b and of those of b outside a."""
+    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
+    names = ["a", "b", "n_a", "n_b", "common", "linked", "rest", "whole", "marks"]
 
     def run(parts):
         for batch in parts:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            sizes, rests = [], []
+            marks = np.zeros((batch.num_rows, 8), np.uint64)
+            for row, (left, right) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                merged = np.sort(np.concatenate([x, y]))
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (len(merged) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+                rest = np.setdiff1d(x, y, assume_unique=True)
+                for side, own in ((0, rest), (4, np.setdiff1d(y, x, assume_unique=True))):
+                    np.bitwise_or.at(marks[row], side + (own >> np.uint64(6) & np.uint64(3)).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
+                common = len(x) - len(rest)
+                # a partner has at least percent * len(x) / 100 elements
+                need = -(-percent * len(x) // 100) - common
+                used = rest[: len(rest) - max(need, 1) + 1]
+                sizes.append((len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common), len(used) == len(rest)))
+                rests.append(used.view(np.int64))
+            n_a, n_b, common, linked, whole = (pa.array(v) for v in zip(*sizes, strict=True)) if sizes else (pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))
+            bounds = pa.array(np.append(0, np.cumsum([len(r) for r in rests])).astype(np.int32))
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 8), pa.array(marks.view(np.int64).ravel()))
+            values = pa.array(np.concatenate(rests) if rests else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n_a, n_b, common, linked, pa.ListArray.from_arrays(bounds, values), whole, maps], names)
+
+    return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long, n_a long, n_b long, common long, linked boolean, rest array<long>, whole boolean, marks array<long>")
+
+
+def with_component(rows: DataFrame, node: str, groups: DataFrame) -> DataFrame:
+    found = rows.join(groups.select(F.col("node").alias(node), F.col("component").alias("_component")), node, "left")
+    return found.withColumn("component", F.coalesce("_component", node)).drop("_component")
+
+
+def rim_pairs(stars: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members of one pivot, one of them not linked to it, that may be linked
+    and are not connected yet. ``stars`` are members (a) compared with their pivots (b)."""
+    members = with_component(stars.withColumnRenamed("a", "x").withColumnRenamed("b", "p"), "x", groups)
+    mixed = members.groupBy("p").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.max((~F.col("linked")).cast("int")).alias("loose"))
+    open_ = stage(members.join(mixed.where("n > 1 and least <> most and loose = 1").select("p"), "p"), "members")
+    side = lambda rows, m: rows.select(*[F.col(c).alias(c if c in ("p", "element") else f"{c}_{m}") for c in rows.columns])
+    open_ = open_.withColumn("outside", F.col("n_a") - F.col("common"))
+    narrow = open_.drop("rest")
+    rim = narrow.where("not linked")
+    apart = F.expr("component_1 <> component_2 and (linked_2 or x_1 < x_2)")
+    need = F.lit(percent) * (F.col("n_a_1") + F.col("n_a_2"))
+    bits = lambda places, form: sum((F.bit_count(form(F.col("marks_1")[i], F.col("marks_2")[i])) for i in places), F.lit(0))
+    inside = F.least("common_1", "common_2", F.col("n_b_1") - bits(range(4, 8), lambda u, v: u.bitwiseOR(v)))
+    only_1 = F.col("outside_1") - bits(range(4), lambda u, v: u.bitwiseAND(F.bitwise_not(v)))
+    only_2 = F.col("outside_2") - bits(range(4), lambda u, v: v.bitwiseAND(F.bitwise_not(u)))
+    enough = side(rim, 1).join(side(narrow, 2), "p").where(apart & (inside * (100 + percent) >= need)).select("x_1", "x_2")
+    parts = open_.withColumn("element", F.explode("rest")).drop("rest")
+    shared = (
+        side(parts.where("not linked"), 1)
+        .join(side(parts, 2), ["p", "element"])
+        .where(apart & ((inside + F.least(only_1, only_2)) * (100 + percent) >= need))
+        .groupBy("p", "x_1", "x_2")
+        .agg(F.count("*").alias("n"), F.first("whole_1").alias("w1"), F.first("whole_2").alias("w2"), F.first((inside * (100 + percent)).alias("i")).alias("i"), F.first(need).alias("need"))
+        .where(F.expr(f"not (w1 and w2) or i + n * {100 + percent} >= need"))
+        .select("x_1", "x_2")
+    )
+    return enough.union(shared).select(F.least("x_1", "x_2").alias("a"), F.greatest("x_1", "x_2").alias("b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80, size: int = COORDINATES, rows: int = ROWS) -> DataFrame:
@@ -132,45 +187,22 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80, si
     classes = stage(
         sketched.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes"
     )
-    members = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    open_rows = stage(members.join(shared, "bucket"), "buckets")
-    candidates = open_rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stage(document_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(candidates, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "sets")
+    members = classes.select("rep", F.explode("bands").alias("bucket"))
+    pivots = members.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
+    met = members.join(pivots, "bucket").where("rep <> b")
+    pairs = stage(met.select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = stage(document_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "items"]), "sets")
     ids = sketched.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_a", "set_b").distinct()
     several = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    links = stage(ids.join(several, "doc_id").join(classes, ["n_shingles", "set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "verified")
-    groups = None if links.isEmpty() else stage(connected_components(links), "groups")
-    pivots = 1
-    while True:
-        labelled = open_rows.withColumn("component", F.col("rep")) if groups is None else open_rows.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if groups is not None:
-            mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-            labelled = labelled.join(mixed, "bucket")
-            labelled = stage(labelled, "buckets")
-        first = Window.partitionBy("bucket").orderBy("rep") if pivots == 1 else Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-        chosen = labelled.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots)
-        centre = stage(chosen.select("bucket", F.col("rep").alias("centre"), F.col("n_shingles").alias("centre_n"), F.col("component").alias("centre_component")), "pivots")
-        if centre.isEmpty():
-            break
-        pairs = (
-            labelled.join(centre, "bucket")
-            .where("component <> centre_component and rep <> centre")
-            .where(F.least("n_shingles", "centre_n") * 100 >= F.greatest("n_shingles", "centre_n") * percent)
-            .select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-            .distinct()
-        )
-        found = stage(verified(pairs, sets, percent), "verified")
-        links = found if groups is None else found.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        groups = stage(connected_components(links), "groups")
-        open_rows = stage(labelled.drop("component").join(centre.select("bucket", F.col("centre").alias("rep")), ["bucket", "rep"], "left_anti"), "buckets")
-        pivots = min(32, pivots * 8)
+    same = ids.join(several, "doc_id").join(classes, ["n_shingles", "set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    stars = stage(compared(pairs, sets, percent), "stars")
+    groups = stage(connected_components(stars.where("linked").select("a", "b").union(same)), "groups")
+    rim = stage(compared(rim_pairs(stars, groups, percent), sets, percent).where("linked").select("a", "b"), "rim")
+    if not rim.isEmpty():
+        groups = stage(connected_components(rim.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))), "groups")
     named = classes.select("n_shingles", "set_a", "set_b", "rep")
-    if groups is not None:
-        named = named.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        named = named.withColumn("component", F.coalesce("component", "rep"))
-    else:
-        named = named.withColumn("component", F.col("rep"))
+    named = with_component(named, "rep", groups)
     out = sketched.drop("bands").join(named.drop("rep"), ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
