@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import clean_collected_post, vector_words
-from moodframe.session import fits
+from moodframe.session import lookup_join, stage
 
 CUT = 0.3  # fixed value: polarity threshold
 
@@ -25,13 +25,11 @@ def known_polarities(text: Column, lexicon: dict[str, float]) -> Column:
 
 
 def table_polarity(df: DataFrame, key: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """Mean polarity of the known words against a lexicon table (word, polarity). A lexicon
-    of checked size is met where the words lie, and one row per text is shuffled; for a
-    larger one, words are counted inside each text first, then joined."""
-    words = df.select(key, F.explode(vector_words(F.col(text_col))).alias("word"))
-    if fits(lexicon):
-        return words.join(F.broadcast(lexicon), "word").groupBy(key).agg(F.avg("polarity").alias("polarity"))
-    hits = words.groupBy(key, "word").agg(F.count("*").alias("_n")).join(lexicon, "word")
+    """Mean polarity of the known words against a lexicon table (word, polarity): words are
+    counted inside each text, then meet the lexicon, so a common word is one row a text. One
+    formula, whether the lexicon is small enough to be broadcast or not."""
+    counted = df.select(key, F.explode(vector_words(F.col(text_col))).alias("word")).groupBy(key, "word")
+    hits = lookup_join(counted.agg(F.count("*").alias("_n")), lexicon, "word")
     return hits.groupBy(key).agg((F.sum(F.col("polarity") * F.col("_n")) / F.sum("_n")).alias("polarity"))
 
 
@@ -57,7 +55,8 @@ def keep_unique_retweets(
     digest = F.sha2(
         F.concat(F.coalesce("sentiment", F.lit("\x00")), F.lit("\x1f"), F.coalesce("text", F.lit("\x00"))), 256
     )
-    # Never null, and said to be: else a null check would compute the cleaned text once more.
+    # Written once: posts are read three times below, and cleaning them is the costly part.
+    posts = stage(posts, "posts")
     keyed = posts.withColumn("_d", F.coalesce(digest, F.lit("")))
     first = keyed.groupBy("_d").agg(F.min(arrival).alias(arrival))
     kept = keyed.filter(F.col(retweets) > 0).join(first, ["_d", arrival], "left_semi").drop("_d")

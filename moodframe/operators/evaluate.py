@@ -129,7 +129,7 @@ def _score_counts(scored: DataFrame, score: str, positive: int, by: tuple[str, .
 def roc_auc(scored: DataFrame, *by: str, score: str = "p1", positive: int = 1) -> DataFrame:
     """Rank statistic with mean ranks on ties; null where a class is absent."""
     counts = _score_counts(scored, score, positive, by)
-    both = stage(counts.withColumn("n", F.col("pos") + F.col("neg")), "ties")
+    both = counts.withColumn("n", F.col("pos") + F.col("neg"))
     run = running_totals(both, "score", ["n"], by)
     mean_rank = F.col("n_upto") - (F.col("n") - 1) / 2
     sums = run.groupBy(*by).agg(

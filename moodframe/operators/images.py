@@ -148,7 +148,7 @@ def image_summary(detections: DataFrame, emotions: DataFrame, min_confidence: fl
         detected.cast("bigint").alias("faces_detected"),
         F.when(detected > 0, F.coalesce("_n", F.lit(0))).cast("bigint").alias("faces_processed"),
         F.coalesce("_r", F.array().cast(listed.schema["_r"].dataType)).alias("results"),
-        F.when(ok & (detected == 0), "No faces detected").alias("message"),
+        F.when(ok & (detected == 0), "No faces detected").alias("message"),  # fixed value
         F.when(~ok, "could not load image").alias("error"),
     )
 

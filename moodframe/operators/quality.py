@@ -18,13 +18,13 @@ EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
 def clean_labelled(
-    df: DataFrame, text_col: str, label_col: str, subset: list[str] | None = None
+    df: DataFrame, text_col: str, label_col: str, subset: list[str] | None = None, order: str | None = None
 ) -> DataFrame:
     """Duplicates out, blank text out, null text or label out, only labels 0 and 1 stay.
 
     The row filters are deterministic on the compared columns, so they run before the
     de-duplication shuffle when whole rows are compared. With a subset, which copy stays
-    decides the later checks, so the order given is kept.
+    decides the later checks: the first by ``order``, which is needed then.
     """
 
     def valid(frame: DataFrame) -> DataFrame:
@@ -34,7 +34,10 @@ def clean_labelled(
 
     if subset is None or {text_col, label_col} <= set(subset):
         return valid(df).dropDuplicates(subset)
-    return valid(df.dropDuplicates(subset))
+    if order is None:
+        raise ValueError("copies that differ beside the compared columns need an order")
+    row = F.struct(*df.columns)
+    return valid(df.groupBy(*subset).agg(F.min_by(row, F.struct(order, row)).alias("_row")).select("_row.*"))
 
 
 def class_counts(df: DataFrame, *keys: str) -> DataFrame:

@@ -42,12 +42,13 @@ SENTIMENT_SCHEMA = "sentiment int, ids long, date string, flag string, user stri
 
 def read_csv(
     spark: SparkSession, path: str, columns: list[str] | None = None, schema: str | None = None,
-    header: bool = True, encoding: str = "UTF-8",
+    header: bool = True, encoding: str = "UTF-8", multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with quoted line breaks; only the wanted columns are parsed. Without a schema
+    """CSV with quoted line breaks, one task a file; files without any split into tasks with
+    ``multi_line`` off. Only the wanted columns are parsed. Without a schema
     every column is a string, so no pass is spent on guessing types."""
     reader = spark.read.option("header", header).option("encoding", encoding)
-    reader = reader.option("multiLine", True).option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("escape", '"')
     if schema:
         reader = reader.schema(schema)
     df = reader.csv(path)

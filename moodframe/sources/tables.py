@@ -10,13 +10,12 @@ RUN_SCHEMA = "run_id string, kind string, key string, value string"
 
 
 def append_predictions(
-    log: DataFrame, path: str, time_col: str = "created_at", id_col: str = "id", files_per_day: int = 1
+    log: DataFrame, path: str, time_col: str = "created_at"
 ) -> None:
-    """Appends log rows, one folder per day, so that period filters prune folders. Rows of a
-    day are spread over ``files_per_day`` tasks by id, so a heavy day is not one task's."""
-    dated = log.withColumn("created_date", F.to_date(time_col))
-    salt = F.pmod(F.xxhash64(id_col), F.lit(files_per_day))
-    dated.repartition("created_date", salt).write.mode("append").partitionBy("created_date").parquet(path)
+    """Appends log rows, one folder per day, so that period filters prune folders. Rows are
+    rebalanced by day: small days become one file, a heavy day is split over many tasks."""
+    dated = log.withColumn("created_date", F.to_date(time_col)).hint("rebalance", "created_date")
+    dated.write.mode("append").partitionBy("created_date").parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str, since=None) -> DataFrame:

@@ -98,7 +98,7 @@ def test_anonymous_ids_repeat_on_rerun(spark):
 
 def test_log_append_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "log")
-    tb.append_predictions(make_log(spark), path, files_per_day=2)
+    tb.append_predictions(make_log(spark), path)
     back = tb.read_predictions(spark, path, since="2024-01-10")
     assert back.count() == 2
     plan = back._jdf.queryExecution().executedPlan().toString()
