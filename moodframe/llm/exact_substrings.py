@@ -165,6 +165,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         return pa.Table.from_arrays([pa.array([block] * len(sent), pa.int64()), pa.array(where, pa.int64()), *[pa.array([s[k] for s in sent], pa.binary()) for k in range(3)]], ["block", "range", "keys", "segments", "counts"])
 
     def answer_hashes(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")  # the same block supplies a segment whenever this runs
         keys = [spread(v.as_py(), "<u8") for v in table.column("keys")]
         lengths = np.array([len(k) for k in keys])
         key = np.concatenate(keys)
