@@ -19,7 +19,7 @@ from moodframe.llm.token_ids import PieceEncoder, encoded_batches
 from moodframe.session import stage
 
 CAPACITY = 1024
-MAX_TRIPLES = 1500
+MAX_TRIPLES = 800
 
 
 def length_patterns(present: np.ndarray, capacity: int, max_triples: int = MAX_TRIPLES) -> np.ndarray:
@@ -114,11 +114,11 @@ def packing_plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int
             np.add.at(matrix, (patterns[:, k], np.arange(len(patterns))), 1.0)
         matrix[0] = 0
         fitted = nonnegative_least_squares(matrix, counts.astype(float))
-    for share in (1.0, 0.9, 0.7) if len(patterns) else (0.0,):
+    for share in (1.0, 0.7, 0.35) if len(patterns) else (0.0,):
         left, own = counts.copy(), []
         if share:
             for u in np.argsort(-fitted, kind="stable"):
-                times = int(round(share * fitted[u]))
+                times = int(share * fitted[u])  # rounded down: what is over is easy to pack
                 if not times:
                     continue
                 lengths, each = np.unique(patterns[u][patterns[u] > 0], return_counts=True)
