@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 
 import pyarrow as pa
 
@@ -10,6 +12,19 @@ import pyarrow as pa
 REMEMBERED = 400_000
 
 
+#: One run of Latin letters and one of ASCII signs, without those that may start a contraction
+#: or a special token: what any of the tokenizers here cuts into exactly these two words.
+PLAIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:;=>?@\[-`{}~]*)\Z"
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte-level letters: printable Latin-1 stands for itself, other bytes for the characters
+    from 256 on, in their order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes of ``width`` bytes an id.
 
@@ -18,7 +33,8 @@ class PieceEncoder:
     follows it. Pieces at longer white space are not cut: with ``joined`` texts that hold any
     are encoded whole; without it white space has no ids at all. ``add_special_tokens`` is
     False; the strings of special tokens in a text become their ids, as the library does by
-    default."""
+    default. Plain pieces, words of Latin letters and signs, go to the tokenizer's model word by
+    word, each distinct word once; all others through the whole tokenizer."""
 
     def __init__(self, path: str, joined: bool, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,23 +43,64 @@ class PieceEncoder:
         self.encode = Tokenizer.from_file(path)
         self.joined, self.width = joined, width
         self.lead = " " if joined else ""
+        self.letters, self.plain = byte_letters(), re.compile(PLAIN)
+        self.blank = chr(self.letters[32])
+        self.words: dict[str, bytes] = {"\n": self._word("\n") if joined else b""}
         self.inner: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = self.inner if not joined else {}
 
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
-        kind = "<u2" if self.width == 2 else "<u4"
-        import numpy as np
-
         for at in range(0, len(texts), 2000):
-            out += [np.array(e.ids, kind).tobytes() for e in self.encode.encode_batch(texts[at : at + 2000], add_special_tokens=False)]
+            out += [self.pack(e.ids) for e in self.encode.encode_batch(texts[at : at + 2000], add_special_tokens=False)]
         return out
 
+    def _word(self, word: str) -> bytes:
+        shown = word.replace(" ", self.blank) if word.isascii() and word != "\n" else word.encode().decode("latin-1").translate(self.letters)
+        return self.pack([t.id for t in self.encode.model.tokenize(shown)])
+
+    def _plain(self, piece: str, lead: str) -> bytes | None:
+        """Ids of a plain piece, also over single line breaks; None for any other piece."""
+        if piece.isalpha() and piece.isascii():
+            word = lead + piece if self.joined else piece.lower()
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.words[word] = self._word(word)
+            return ids
+        out = []
+        for i, line in enumerate(piece.split("\n")):
+            found = self.plain.match(line)
+            if found is None or not line:
+                return None
+            if i:
+                out.append(self.words["\n"])
+                lead = ""
+            if not self.joined:
+                line = line.lower()
+            cut = found.end(1)
+            for word in (lead + line[:cut], line[cut:]) if cut and cut < len(line) else (lead + line,):
+                ids = self.words.get(word)
+                if ids is None:
+                    ids = self.words[word] = self._word(word)
+                out.append(ids)
+        return b"".join(out)
+
     def _learn(self, known: dict, pieces: set, lead: str) -> None:
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            new = list(pieces)
+        if len(self.words) > REMEMBERED:
+            self.words = {"\n": self.words["\n"]}
+        new, plain = [], self._plain
+        for piece in pieces:
+            if piece not in known:
+                ids = plain(piece, lead)
+                if ids is None:
+                    new.append(piece)
+                else:
+                    known[piece] = ids
         odd = [p for p in new if self.joined and (not p or p[0].isspace() or p[-1].isspace())]
         known.update(dict.fromkeys(odd))
         plain = [p for p in new if not self.joined or p and not p[0].isspace() and not p[-1].isspace()]
