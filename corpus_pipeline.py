@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group that shares 0.8 of its five-word shingles: the smallest id."""
     groups = near_duplicates.near_duplicate_groups(docs.select("doc_id", "text"), words=5, percent=80)
     lost = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weighted mix of the sources takes them."""
-    return source_mix.mixed_documents(docs, lambda df: stage(df, "sized"))
+    return source_mix.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodframe.session import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 JUNK = r"[0-9#*$%&|<>!]+"
 WEIGHTS = (5, 2, 1)
@@ -57,22 +59,29 @@ def sampling_key(doc_id, quality, seed: int = SEED):
     return -F.log(chance) / quality
 
 
-def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``sized`` (from ``measured``, with doc_id and source; better staged, as it is read three
-    times) with source_size, target and taken: words of the document in the mix, repeats
-    counted, at most ``max_epochs`` times its size.
+def _keyed(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    base = sized.drop("source_size", "target", "taken", "mix_source", "source_rows", "mix_key", "mix_range", "mix_before")
+    joined = base.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
+    keyed = joined.withColumn("mix_key", sampling_key(F.col("doc_id"), F.col("mix_quality"), seed))
+    return keyed.withColumn("mix_range", F.floor((1 - F.exp(-F.col("mix_key"))) * F.ceil(F.sqrt("source_rows"))))
+
+
+def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, narrow: DataFrame | None = None) -> DataFrame:
+    """``sized`` (from ``measured``, with doc_id and source) with source_size, target and taken:
+    words of the document in the mix, repeats counted, at most ``max_epochs`` times its size.
+    ``narrow`` has the same rows without texts (by default ``sized`` itself, which is better
+    staged then): sizes by source and key range are taken from it and written as small tables,
+    so the rows of ``sized`` move only once, into their key ranges.
 
     The taken words of a source sum to its target rounded down. Null sources are a source;
     null ids share one key; rows with equal keys are ordered by id and size; documents
     without words take nothing. No Python, no cap, one task holds about sqrt(n) rows."""
-    targets = source_targets(sized, weights, max_epochs)
-    base = sized.drop("source_size", "target", "taken", "mix_source", "source_rows", "mix_key", "mix_range", "mix_before")
-    joined = base.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
-    keyed = joined.withColumn("mix_key", sampling_key(F.col("doc_id"), F.col("mix_quality"), seed))
-    keyed = keyed.withColumn("mix_range", F.floor((1 - F.exp(-F.col("mix_key"))) * F.ceil(F.sqrt("source_rows"))))
-    totals = keyed.groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("words"))
+    narrow = sized if narrow is None else narrow
+    targets = stage(source_targets(narrow, weights, max_epochs), "targets")
+    keyed = _keyed(sized, targets, seed)
+    totals = _keyed(narrow, targets, seed).groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("words"))
     earlier = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("mix_source").alias("_s"), F.col("mix_range").alias("_r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("mix_before"))
+    starts = stage(totals.select(F.col("mix_source").alias("_s"), F.col("mix_range").alias("_r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("mix_before")), "starts")
     placed = keyed.join(starts, F.col("mix_source").eqNullSafe(F.col("_s")) & (F.col("mix_range") == F.col("_r"))).drop("_s", "_r")
     inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.col("mix_before") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
@@ -82,13 +91,13 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     return placed.withColumn("taken", taken.cast("long")).drop("mix_source", "source_rows", "mix_key", "mix_range", "mix_before")
 
 
-def mixed_documents(docs: DataFrame, staged, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of the mix with the columns of ``docs`` (doc_id, text, source and any others):
     one row for each complete repeat of a document, and one with its first words for the
-    document at a source's border, n_chars following the text. ``staged`` writes and rereads
-    a frame."""
+    document at a source's border, n_chars following the text."""
     columns = docs.columns
-    mixed = mix_sources(staged(measured(docs)), weights, max_epochs, seed).where("taken > 0")
+    narrow = stage(measured(docs).select("doc_id", "source", "mix_size", "mix_quality"), "sized")
+    mixed = mix_sources(measured(docs), weights, max_epochs, seed, narrow).where("taken > 0")
     whole = F.floor(F.col("taken") / F.col("mix_size"))
     part = F.col("taken") % F.col("mix_size")
     copies = mixed.withColumn("mix_words", F.explode(F.concat(F.array_repeat(F.col("mix_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from moodframe.llm import exact_substrings, language_model, near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, vector_search, warc
@@ -126,7 +127,7 @@ def test_quality_counts_and_verdict(spark, docs, empty):
 def test_quality_learns_held_out(spark, sf):
     docs, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = quality_rules.fit_quality(docs, marks, held_out=toxicity.held_out)
-    judged = quality_rules.judge_quality(docs, model).join(marks, "doc_id").where(toxicity.held_out(docs["doc_id"])).where("not base_failed").collect()
+    judged = quality_rules.judge_quality(docs, model).join(marks, "doc_id").where(toxicity.held_out(F.col("doc_id"))).where("not base_failed").collect()
     assert np.mean([r["kept"] == bool(r["quality"]) for r in judged]) > 0.9
 
 
@@ -383,7 +384,7 @@ def test_mix_equals_definition(docs, empty):
 def test_mixed_documents_carry_the_taken_words(docs):
     sized = stage(source_mix.measured(docs), "sized")
     taken = sum(r["taken"] for r in source_mix.mix_sources(sized).collect())
-    out = source_mix.mixed_documents(docs, lambda df: stage(df, "sized"))
+    out = source_mix.mixed_documents(docs)
     assert out.columns == docs.columns
     assert sum(len(words(r["text"])) for r in out.collect()) == taken
 
@@ -454,3 +455,15 @@ def test_queries_are_registered():
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", x)[0] for x in names if re.match(r"op\d+_", x)}
     assert "pipeline" in names
+
+
+@pytest.mark.parametrize(("name", "joined", "width"), [("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)])
+def test_pieces_give_the_ids_of_whole_texts(name, joined, width):
+    from moodframe.llm.token_ids import PieceEncoder
+
+    draw = random.Random(8)
+    texts = ["don't I'll 'tis x's", "a_b `c` ^x", "ÀÉß µm ªº ÿ", "x<|endoftext|>y <|endoftext|> z", "(hello) world...\nNext line\n\nmore \n x", "1a2b3 12", "naïve—dash …", "é combining", " nbsp x", "tab\tx  y", "", "  ", "\n", "a\n", "\nb", "HELLO WÖRLD!!", "<x> =y= {z} ~ |"]
+    texts += ["".join(draw.choice("abcÀé '\n.,<|>1 \t sS漢") for _ in range(40)) for _ in range(1500)]
+    encoder = PieceEncoder(vocabulary(name), joined, width)
+    want = [np.array(e.ids, f"<u{width}").tobytes() for e in encoder.encode.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.texts(texts) == want
