@@ -74,7 +74,7 @@ def margins(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
             known = idx < len(w)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))[known]
             idx, val = idx[known], val[known]
-            sums = [pa.array(np.bincount(owner, val * w[idx, k], batch.num_rows)) for k in range(len(names))]
+            sums = [pa.array(np.bincount(owner, val * w[idx, k], batch.num_rows).astype(float)) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *sums], schema.names)
 
     return found.select(*keys, "idx", "val").mapInArrow(run, schema)

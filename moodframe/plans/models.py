@@ -462,6 +462,20 @@ _vector_model("m15_random_forest", lambda t: ml.random_forest())
 _vector_model("m17_feed_forward", lambda t: ml.feed_forward(64))
 
 
+def _text_model(name, make):
+    """The same trees on TF-IDF of the 5,000 most frequent training terms."""
+
+    @query(name)
+    def run(spark, sf):
+        _, train, test = _parts(spark, sf, _KNN_TERMS)
+        rows = stage(train.select(F.col("label").cast("double").alias("label"), "features"), "vectors")
+        return ml.scored_classes(make().fit(rows), test, ["doc_id", "label"])
+
+
+_text_model("m14_text_decision_tree", ml.decision_tree)
+_text_model("m15_text_random_forest", ml.random_forest)
+
+
 # --- scoring ----------------------------------------------------------------------------
 
 
@@ -478,6 +492,21 @@ def ensemble(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("p1", "p0")})
 
 
+@query("m19_text_ensemble")
+def text_ensemble(spark, sf):
+    """Mean of the linear and the Bayes model on cleaned texts, both fitted on one vocabulary."""
+    cleaned = labelled(spark, sf).withColumn("text", tx.clean_post(F.col("text")))
+    rows = cleaned.select("doc_id", tx.vector_words(F.col("text")).alias("words"), "label", split_name(F.col("doc_id"), TRAIN_TEST).alias("split"))
+    rows = stage(rows, "labelled")
+    train, test = (rows.filter(F.col("split") == s) for s in ("train", "test"))
+    found = ft.fit_vocabulary(train, "text", TERMS)
+    vectors, held = ft.tfidf_vectors(train, found), ft.tfidf_vectors(test, found)
+    bayes = nb.score_bayes(held, nb.fit_bayes(stage(nb.class_sums(vectors), "class-sums"), n_terms=len(found.terms)), ["doc_id"])
+    linear = ln.fit_linear(vectors, len(found.terms), "modified_huber", rounds=60)
+    scored = nb.margins(held, linear.table(spark), ["doc_id"]).withColumn("p1", ln.huber_probability(F.col("m0")))
+    return sc.ensemble(stage(scored.select("doc_id", "p1"), "linear"), stage(bayes.select("doc_id", "p1"), "bayes"), "doc_id")
+
+
 @query(
     "m20_single_model_scores",
     f"""WITH {_tfidf_sql()}, s AS (SELECT b.doc_id, coalesce(sum(v * (({hash_sql('t.term')} % 2001) - 1000) / 100.0), 0) AS m FROM base b

@@ -26,6 +26,17 @@ def test_text_profile_and_log_work_stays_in_the_jvm(spark, sf, name):
         assert step not in plan
 
 
+def test_rows_are_scored_where_they_lie(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from moodframe.operators.bayes import margins
+
+    rows = spark.createDataFrame([(1, Vectors.sparse(3, [0, 2], [1.0, 2.0])), (2, Vectors.sparse(3, [], []))], ["doc_id", "features"])
+    scored = margins(rows, spark.createDataFrame([(0, 0.5), (2, -1.0)], "idx int, w0 double"), ["doc_id"])
+    assert "Exchange" not in plan_of(scored) and "Join" not in plan_of(scored)
+    assert sorted(map(tuple, scored.collect())) == [(1, -1.5), (2, 0.0)]
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = plan_of(entry.queries()["p1_analytics"](spark, sf))
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
