@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.llm.textblocks import Hasher, crc32_text, lower_table, mix64, owners, raw_text, text_blocks, word_ranges
-from moodframe.session import stage
 
 BLOCK_BYTES = 4 << 20
 #: Weight of the unigram chances in a context, in tokens.
@@ -58,16 +57,18 @@ def spread(data: bytes, kind: str) -> np.ndarray:
 
 
 def fragments(keys: np.ndarray, counts: np.ndarray, ranges: int):
-    """Slices of sorted keys by key range: (range, keys, counts)."""
+    """Slices of sorted keys by key range: (range, steps from key to key, counts)."""
+    if not len(keys):
+        return
     part = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
-        yield int(part[a]), squeezed(keys[a:b]), squeezed(counts[a:b].astype("<u4"))
+        yield int(part[a]), squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), squeezed(counts[a:b].astype("<u4"))
 
 
 def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of each sent key among the distinct ones, totals, lengths of the fragments)."""
-    keys = [spread(k.as_py(), "<u8") for k in table.column("keys")]
+    keys = [np.cumsum(spread(k.as_py(), "<u8"), dtype=np.uint64) for k in table.column("keys")]
     counts = np.concatenate([spread(c.as_py(), "<u4") for c in table.column("counts")])
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     return place, np.bincount(place, counts), np.array([len(k) for k in keys])
@@ -83,18 +84,17 @@ def corpus_size(docs: DataFrame, ranges: int) -> tuple[int, int, int]:
                 tokens, bounds = token_hashes(data, offsets)
                 used = np.repeat(batch.column(1).slice(first, len(offsets) - 1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
                 keys, counts = np.unique(mix64(tokens[used] + np.uint64(1)), return_counts=True)
-                rows = list(fragments(keys, counts, ranges)) + [(-1, b"", b"")]
-                size = [0] * (len(rows) - 1) + [len(data)]
+                rows = list(fragments(keys, counts, ranges)) or [(0, b"", b"")]
+                size = [len(data)] + [0] * (len(rows) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array(size)], ["range", "keys", "counts", "bytes"])
 
     def distinct(table: pa.Table) -> pa.Table:
         _, totals, _ = summed(table)
-        return pa.table({"tokens": [int(totals.sum())], "words": [len(totals)]})
+        return pa.table({"tokens": [int(totals.sum())], "words": [len(totals)], "bytes": [int(table.column("bytes").to_numpy().sum())]})
 
-    sent = stage(docs.select("text", "training").mapInArrow(local, "range long, keys binary, counts binary, bytes long"), "words")
-    size = sent.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    found = sent.where("range >= 0").groupBy("range").applyInArrow(distinct, "tokens long, words long").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    return found[0], found[1], size
+    sent = docs.select("text", "training").mapInArrow(local, "range long, keys binary, counts binary, bytes long")
+    found = sent.groupBy("range").applyInArrow(distinct, "tokens long, words long, bytes long")
+    return tuple(found.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in found.columns]).first())
 
 
 def score_texts(docs: DataFrame, held_out, smoothing: float = SMOOTHING) -> DataFrame:
@@ -107,7 +107,7 @@ def score_texts(docs: DataFrame, held_out, smoothing: float = SMOOTHING) -> Data
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     n, v, size = corpus_size(rows.select("text", (~F.col("held_out")).alias("training")), ranges)
     ranges = max(ranges, -(-size // (2 * BLOCK_BYTES)))
-    blocks = max(4 * ranges, -(-size // BLOCK_BYTES))
+    blocks = max(ranges, -(-size // BLOCK_BYTES))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def send(table: pa.Table) -> pa.Table:
