@@ -41,7 +41,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/moodframe/{label}-{uuid.uuid4().hex}"
+    """A scratch folder of this program, which ``drop_stages`` deletes."""
+    path = f"{scratch_dir(spark)}/moodframe/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -50,12 +53,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stages(spark: SparkSession) -> int:
-    """Deletes the folders ``stage`` wrote in this program; call it when results are saved."""
+    """Deletes the scratch folders of this program, staged tables and others; call it when
+    results are saved and nothing reads them any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
