@@ -48,7 +48,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     levelled = ranked.withColumn("level", level)
     # below the first source whose cap the common level does not reach, all are full
     common = F.min(F.when(F.col("level") <= F.col("fill"), F.col("fill"))).over(Window.partitionBy())
-    final = F.min(F.when(F.col("fill") == common, F.col("level"))).over(Window.partitionBy())
+    # of sources that tie there the first counts; the levels of the next subtract its cap, which is not full
+    final = F.max(F.when((F.col("fill") == common) & (F.col("level") <= F.col("fill")), F.col("level"))).over(Window.partitionBy())
     return levelled.select("mix_source", "source_size", "source_rows", F.coalesce(F.least("cap", final * F.col("weight")), F.lit(0.0)).alias("target"))
 
 

@@ -381,6 +381,25 @@ def test_mix_equals_definition(docs, empty):
     assert plain(again.collect()) == plain((r["doc_id"], r["mix_size"], r["taken"]) for r in rows)
 
 
+@pytest.mark.parametrize(("sizes", "weights", "epochs", "want"), [
+    ((1000, 1000, 1000, 1000), (5, 2, 1), 3, (20000 / 13, 8000 / 13, 4000 / 13, 20000 / 13)),
+    ((500, 200), (5, 2), 3, (500, 200)),
+    ((500, 200, 1000), (5, 2, 1), 1, (500, 200, 1000)),
+    ((100, 100, 100, 5000), (5, 1, 1, 1), 2, (200, 200, 200, 4700)),
+])
+def test_mix_keeps_all_words_when_sources_tie(spark, sizes, weights, epochs, want):
+    """Sources with equal size by weight become full at the same level."""
+    rows = [(100 * s + i, "word " * (size // 10), f"s{s}") for s, size in enumerate(sizes) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = source_mix.mix_sources(stage(source_mix.measured(docs), "sized"), weights, epochs).collect()
+    targets = {r["source"]: r["target"] for r in out}
+    assert [targets[f"s{s}"] for s in range(len(sizes))] == pytest.approx(want)
+    for s, target in enumerate(want):
+        assert abs(sum(r["taken"] for r in out if r["source"] == f"s{s}") - target) <= 1
+    mixed = source_mix.mixed_documents(docs, weights, epochs).collect()
+    assert abs(sum(len(words(r["text"])) for r in mixed) - sum(sizes)) <= len(sizes)
+
+
 def test_mixed_documents_carry_the_taken_words(docs):
     sized = stage(source_mix.measured(docs), "sized")
     taken = sum(r["taken"] for r in source_mix.mix_sources(sized).collect())
