@@ -163,6 +163,29 @@ def ml_grid_search(estimator, df: DataFrame, grid: dict, folds: int = 5, seed: i
     return search.fit(df)
 
 
+def ml_fold_scores(
+    df: DataFrame, fold_col: str, k: int, estimator, grid: dict, max_features: int = 5000, parallelism: int = 2
+) -> DataFrame:
+    """Accuracy per setting and fold of a Spark ML classifier on TF-IDF vectors; each row is scored
+    once, in the fold that holds it out, and vocabularies are fitted afresh per fold. A model is
+    scored as soon as it is fitted and not kept."""
+    chosen = [dict(zip(grid, values)) for values in product(*grid.values())]
+    vocabularies = fold_vocabularies(df, fold_col, k, "text", max_features)
+    label = F.col("label").cast("double").alias("label")
+    vectors = [stage(tfidf_vectors(df, v).select(fold_col, label, "features"), "grid-vectors") for v in vocabularies]
+
+    def score(i, setting, fold):
+        train, held = vectors[fold].filter(F.col(fold_col) != fold), vectors[fold].filter(F.col(fold_col) == fold)
+        model = estimator.fit(train, {estimator.getParam(name): value for name, value in setting.items()})
+        hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+        found = model.transform(held).agg(hit.alias("accuracy"), F.count("*").alias("rows")).first()
+        return i, str(setting), fold, found["accuracy"], found["rows"]
+
+    tasks = [partial(score, i, c, fold) for i, c in enumerate(chosen) for fold in range(k)]
+    schema = "setting_order int, setting string, fold int, accuracy double, rows long"
+    return df.sparkSession.createDataFrame(_side_by_side(tasks, parallelism), schema)
+
+
 def grid_report(search, spark) -> DataFrame:
     """Mean accuracy per setting of a finished ML grid search."""
     rows = [

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from moodframe.operators import bayes as nb
 from moodframe.operators import features as ft
 from moodframe.operators import linear as ln
+from moodframe.operators import mlmodels as ml
 from moodframe.operators import neighbors as kn
+from moodframe.operators import tune as tn
 from moodframe.operators.score import encode_fixed, ensemble_class, with_softmax
 from moodframe.operators.split import exact_folds, exact_split
+from moodframe.plans import all_queries
 from moodframe.sources import tables as tb
 
 
@@ -179,3 +182,34 @@ def test_softmax_and_threshold(spark):
     assert b["prediction"] == 0 and b["confidence"] == 0.5
     line = spark.createDataFrame([(0.7,), (0.699,)], "p double").select(ensemble_class(F.col("p")).alias("c")).collect()
     assert [r["c"] for r in line] == ["Depressed", "Not depressed"]
+
+
+def test_ml_fold_scores_equal_single_fits(corpus):
+    folded = corpus.withColumn("fold", (F.col("doc_id") % 2).cast("int"))
+    grid = {"impurity": ["gini", "entropy"], "maxDepth": [1, 2]}
+    found = {(r["setting_order"], r["fold"]): r for r in tn.ml_fold_scores(folded, "fold", 2, ml.decision_tree(min_split=4), grid, 3).collect()}
+    assert set(found) == {(i, f) for i in range(4) for f in range(2)}
+    assert found[1, 0]["setting"] == "{'impurity': 'gini', 'maxDepth': 2}"
+    for fold in (0, 1):
+        train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        vectors = lambda df, v=ft.fit_vocabulary(train, "text", 3): ft.tfidf_vectors(df, v).withColumn("label", F.col("label").cast("double"))
+        model = ml.decision_tree(2, 4, "entropy").fit(vectors(train))
+        hits = [r["prediction"] == r["label"] for r in model.transform(vectors(held)).collect()]
+        assert (found[3, fold]["accuracy"], found[3, fold]["rows"]) == (sum(hits) / len(hits), len(hits))
+
+
+@pytest.mark.parametrize(("name", "settings", "numbers"), [("m18_tree_grid", 12, {"maxDepth": {20, 30}}), ("m18_forest_grid", 32, {"numTrees": {200, 500}, "maxDepth": {20, 30}})])
+def test_tree_grids_try_all_settings_in_five_folds(spark, sf, monkeypatch, name, settings, numbers):
+    """The fits are recorded instead of run."""
+    seen = []
+
+    def fit(estimator, df, params):
+        seen.append((len(df.first()["features"]), {p.name: v for p, v in params.items()}))
+        return type("Constant", (), {"transform": lambda self, held: held.withColumn("prediction", F.lit(1.0))})()
+
+    for kind in (ml.DecisionTreeClassifier, ml.RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", fit)
+    rows = all_queries()[name](spark, sf).collect()
+    assert len(rows) == settings and {r["folds"] for r in rows} == {5}
+    assert len(seen) == 5 * settings and all(size > 1000 for size, _ in seen)
+    assert {p: {s[p] for _, s in seen} for p in numbers} == numbers
