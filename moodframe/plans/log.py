@@ -17,7 +17,7 @@ from moodframe.session import new_folder
 from moodframe.sources import posts as ps
 from moodframe.sources import tables as tb
 from moodframe.streaming import logstreams as ls
-from moodframe.streaming.ratelimit import admit_stream
+from moodframe.streaming.ratelimit import admissions, close_admissions, write_admissions
 
 NOW, DAYS = "2024-01-31 00:00:00", 7
 
@@ -351,20 +351,18 @@ def rate_limit_stream(spark, sf):
     requests = _event_stream(spark, sf).select(
         F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), rl.micros(F.col("ts")).alias("us")
     )
+    # A stored table may come in any order: nothing is late before its end.
     path = new_folder(spark, "admitted")
-    run = (
-        admit_stream(requests, LIMIT, WINDOW).writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.schema("client long, request_id long, us long, admitted boolean").parquet(path)
+    write_admissions(requests, path, path + "-state", LIMIT, WINDOW).awaitTermination()
+    close_admissions(spark, path, LIMIT, WINDOW)
+    return admissions(spark, path)
 
 
 @query("p8_streaming_daily_counts", _DAILY)
 def streaming_daily(spark, sf):
     path = new_folder(spark, "daily")
-    ls.write_updates(ls.daily_counts(_event_stream(spark, sf), "ts"), path, path + "-state").awaitTermination()
-    return ls.latest_values(spark, path, "date", "count").withColumn("date", F.col("date").cast("string"))
+    ls.count_days(_event_stream(spark, sf), path, path + "-state", "ts").awaitTermination()
+    return ls.day_counts(spark, path).withColumn("date", F.col("date").cast("string"))
 
 
 @query("p5_streaming_user_counters", "SELECT user_id, count(*) AS new_predictions, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id")

@@ -15,7 +15,7 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 def daily_counts(log: DataFrame, time_col: str = "created_at", lateness: str = "1 day") -> DataFrame:
     """Count per day on an unbounded log. Rows later than the watermark are dropped; state is
-    one row per open day."""
+    one row per open day. ``count_days`` counts all rows."""
     timed = log.withColumn("_t", F.col(time_col).cast("timestamp")).withWatermark("_t", lateness)
     return timed.groupBy(F.window("_t", "1 day").alias("w")).agg(F.count("*").alias("count")).select(
         F.to_date("w.start").alias("date"), "count"
@@ -62,6 +62,24 @@ def count_users(log: DataFrame, path: str, checkpoint: str, user_id: str = "user
     )
 
 
+def count_days(log: DataFrame, path: str, checkpoint: str, time_col: str = "created_at") -> StreamingQuery:
+    """Per-day counts of each batch, written to the batch's own folder; reading sums them, so no
+    row is too late to count."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy(F.to_date(time_col).alias("date")).agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        log.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def day_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).groupBy("date").agg(F.sum("n").alias("count"))
+
+
 def user_counts(spark: SparkSession, path: str, user_id: str = "user_id") -> DataFrame:
     return spark.read.parquet(path).groupBy(user_id).agg(
         F.sum("n").alias("new_predictions"), F.max("last").alias("last_interaction")

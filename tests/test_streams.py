@@ -1,8 +1,13 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from moodframe.functions.lexicon import SAMPLE_POLARITY
+from moodframe.operators.ratelimit import admit_requests
+from moodframe.plans import all_queries
 from moodframe.streaming import logstreams as ls
-from moodframe.streaming.ratelimit import admit_stream
+from moodframe.streaming.ratelimit import admissions, admit_stream, close_admissions, late_requests, write_admissions
 
 LOG = "id long, user_id long, created_at timestamp_ntz"
 
@@ -67,3 +72,55 @@ def test_posts_are_labelled_on_a_stream(spark, tmp_path):
     run.awaitTermination()
     found = {r["arrival"]: (r["text"], r["sentiment"]) for r in spark.read.parquet(out).collect()}
     assert found == {1: ("GREAT day", "positive"), 2: ("worst day", "negative")}
+
+
+@pytest.fixture(scope="module")
+def reversed_requests(spark, tmp_path_factory):
+    """(folder, rows): four files, the newest first, one read per micro-batch."""
+    draw, folder = random.Random(5), str(tmp_path_factory.mktemp("reversed"))
+    rows = sorted(((draw.randrange(3), i, draw.randrange(400)) for i in range(240)), key=lambda r: -r[2])
+    for k in range(4):
+        part = spark.createDataFrame(rows[60 * k : 60 * k + 60], "client long, request_id long, us long")
+        part.coalesce(1).write.parquet(f"{folder}/{k}")
+    return folder, rows
+
+
+@pytest.mark.parametrize("lateness", [None, 400e-6, 60e-6])
+def test_held_requests_get_the_batch_verdicts(spark, reversed_requests, tmp_path, lateness):
+    (folder, rows), out = reversed_requests, str(tmp_path / "out")
+    schema = "client long, request_id long, us long"
+    stream = ls.read_stream(spark, f"{folder}/*", schema, files_per_batch=1)
+    write_admissions(stream, out, out + "-state", 2, 20e-6, lateness).awaitTermination()
+    close_admissions(spark, out, 2, 20e-6)
+    found = {tuple(r) for r in admissions(spark, out).collect()}
+    late = {(r["client"], r["request_id"], r["us"]) for r in late_requests(spark, out).collect()}
+    assert len(found) + len(late) == len(rows) and {r[:3] for r in found} | late == set(rows)
+    assert bool(late) == (lateness == 60e-6)
+    rest = spark.createDataFrame(sorted(set(rows) - late), schema)
+    assert found == {tuple(r) for r in admit_requests(rest, "client", F.col("us"), "request_id", 2, 20e-6).collect()}
+
+
+def test_verdicts_carry_over_batches_in_order(spark, reversed_requests, tmp_path):
+    (folder, rows), out, own = reversed_requests, str(tmp_path / "out"), str(tmp_path / "in")
+    schema = "client long, request_id long, us long"
+    for k in range(4):
+        part = spark.createDataFrame(rows[::-1][60 * k : 60 * k + 60], schema)
+        part.coalesce(1).write.parquet(f"{own}/{k}")
+        stream = ls.read_stream(spark, f"{own}/*", schema, files_per_batch=1)
+        write_admissions(stream, out, out + "-state", 2, 20e-6, 10e-6).awaitTermination()
+        close_admissions(spark, out, 2, 20e-6)  # the next batch replaces these
+    want = admit_requests(spark.createDataFrame(rows, schema), "client", F.col("us"), "request_id", 2, 20e-6)
+    assert sorted(map(tuple, admissions(spark, out).collect())) == sorted(map(tuple, want.collect()))
+    assert late_requests(spark, out).count() == 0
+
+
+@pytest.mark.parametrize(("name", "batch"), [("p7_rate_limit_stream", "p7_rate_limit"), ("p8_streaming_daily_counts", None)])
+def test_stream_queries_take_files_in_any_order(spark, sf, tmp_path, monkeypatch, name, batch):
+    read, events = ls.read_stream, spark.read.parquet(f"{sf}/events.parquet")
+    for k, day in enumerate((24, 16, 8, 0)):  # the newest days first
+        part = events.filter(F.dayofmonth("ts").between(day, day + 7))
+        part.coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    monkeypatch.setattr(ls, "read_stream", lambda s, path, schema: read(s, f"{tmp_path}/*", schema, files_per_batch=1))
+    found = sorted(map(tuple, all_queries()[name](spark, sf).collect()))
+    days = events.groupBy(F.to_date("ts").cast("string").alias("date")).count()
+    assert found == sorted(map(tuple, (all_queries()[batch](spark, sf) if batch else days).collect()))
