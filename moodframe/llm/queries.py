@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import exact_substrings, language_model, near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, vector_search, warc
+from moodframe.llm import exact_substrings, language_model, merkle, near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, vector_search, warc
 from moodframe.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_substrings.remove_repeats(docs).drop("text")
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, sf_dir, "documents"))
