@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm import exact_substrings, language_model, merkle, near_duplicates, packing, quality_rules, source_mix, token_files, toxicity, vector_search, warc
+from moodframe.llm import exact_substrings, language_model, merkle, near_duplicates, packing, quality_classifier, quality_rules, source_mix, token_files, toxicity, vector_search, warc, whitening
 from moodframe.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_merkle_manifest", merkle.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit_quality_classifier(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score_quality_classifier(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
