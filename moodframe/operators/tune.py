@@ -20,20 +20,20 @@ from moodframe.operators.features import (
     sparse_arrays,
     tfidf_vectors,
 )
+from moodframe.operators.forest import forest_fold_scores
 from moodframe.operators.linear import LinearModel, fit_linear_grid, weight_table
 from moodframe.operators.neighbors import nearest_neighbors
 from moodframe.session import stage
 
-# The grids of the original runs. Spark's trees end at depth 30, and a minimum
-# split size becomes half of it per child. Use as ``ml_grid_search(decision_tree(), df, TREE_GRID)``.
+# The grids of the original runs.
 LINEAR_GRID = {"loss": ["log", "modified_huber", "hinge"], "penalty": ["elasticnet", "l2"], "rounds": [25, 50, 75]}
-TREE_GRID = {"impurity": ["gini", "entropy"], "maxDepth": [20, 30], "minInstancesPerNode": [25, 37, 50]}
+TREE_GRID = {"impurity": ["gini", "entropy"], "maxDepth": [20, 30, 40], "minSplit": [50, 75, 100]}
 FOREST_GRID = {
     "numTrees": [200, 500],
     "featureSubsetStrategy": ["sqrt", "log2"],
     "maxDepth": [20, 30],
     "impurity": ["gini", "entropy"],
-    "minInstancesPerNode": [25, 37],
+    "minSplit": [50, 75],
 }
 NEIGHBOR_GRID = [3, 5, 9, 13, 15]
 
@@ -186,6 +186,15 @@ def ml_fold_scores(
     return df.sparkSession.createDataFrame(_side_by_side(tasks, parallelism), schema)
 
 
+def tree_fold_scores(df: DataFrame, fold_col: str, k: int, grid: dict, max_features: int = 5000) -> DataFrame:
+    """Accuracy per setting and fold of a grid of trees or forests on TF-IDF vectors, vocabularies
+    fitted afresh per fold. All trees of all folds and settings grow together, one scan a level."""
+    vocabularies = fold_vocabularies(df, fold_col, k, "text", max_features)
+    ids = F.col("doc_id").alias("id"), F.col(fold_col).cast("int").alias("fold"), F.col("label").cast("int").alias("label")
+    rows = [sparse_arrays(tfidf_vectors(df, v).select(F.lit(f).alias("data"), *ids, "features")) for f, v in enumerate(vocabularies)]
+    return forest_fold_scores(reduce(DataFrame.unionByName, rows), grid, k, [len(v.terms) for v in vocabularies])
+
+
 def grid_report(search, spark) -> DataFrame:
     """Mean accuracy per setting of a finished ML grid search."""
     rows = [

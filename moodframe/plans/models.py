@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from moodframe.functions import text as tx
 from moodframe.operators import bayes as nb
 from moodframe.operators import features as ft
+from moodframe.operators import forest as fo
 from moodframe.operators import linear as ln
 from moodframe.operators import mlmodels as ml
 from moodframe.operators import neighbors as kn
@@ -290,17 +291,47 @@ def linear_grid(spark, sf):
     return tn.grid_means(scores, "setting_order", "setting")
 
 
-def _text_grid(name, make, grid):
+def _text_grid(name, grid):
     """All settings in five folds on TF-IDF of the 5,000 most frequent training terms."""
 
     @query(name)
     def run(spark, sf):
-        scores = tn.ml_fold_scores(_folded(spark, sf), "fold", 5, make(), grid, _KNN_TERMS)
+        scores = tn.tree_fold_scores(_folded(spark, sf), "fold", 5, grid, _KNN_TERMS)
         return tn.grid_means(scores, "setting_order", "setting")
 
 
-_text_grid("m18_tree_grid", ml.decision_tree, tn.TREE_GRID)
-_text_grid("m18_forest_grid", ml.random_forest, tn.FOREST_GRID)
+_text_grid("m18_tree_grid", tn.TREE_GRID)
+_text_grid("m18_forest_grid", tn.FOREST_GRID)
+
+
+@query(
+    "m14_first_split",
+    f"""WITH {_tfidf_sql(_KNN_TERMS)},
+    ranked AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS place FROM vocab),
+    edges AS (SELECT unnest(list_prepend(0.0, list_transform(range(1, {fo.BINS}), lambda i: power(2, (i - {fo.BINS - 1}) / 3.0)))) AS e),
+    cells AS (SELECT term, (SELECT count(*) FROM edges WHERE e < t.v) AS bin, count(*) FILTER (WHERE label = 0) AS c0, count(*) FILTER (WHERE label = 1) AS c1
+      FROM tfidf t WHERE split = 'train' GROUP BY ALL),
+    total AS (SELECT count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM base WHERE split = 'train'),
+    cuts AS (SELECT r.term, r.place, b.border, coalesce(sum(c0) FILTER (WHERE c.bin > b.border), 0)::BIGINT AS r0, coalesce(sum(c1) FILTER (WHERE c.bin > b.border), 0)::BIGINT AS r1
+      FROM ranked r CROSS JOIN (SELECT unnest(range({fo.BINS - 1})) AS border) b LEFT JOIN cells c ON c.term = r.term GROUP BY ALL),
+    sided AS (SELECT term, place, border, n0 - r0 AS l0, n1 - r1 AS l1, r0, r1 FROM cuts, total),
+    scored AS (SELECT *, (l0 * l0 + l1 * l1) / (l0 + l1) + (r0 * r0 + r1 * r1) / (r0 + r1) AS gini,
+      l0 * ln(greatest(l0, 1) / (l0 + l1)) + l1 * ln(greatest(l1, 1) / (l0 + l1)) + r0 * ln(greatest(r0, 1) / (r0 + r1)) + r1 * ln(greatest(r1, 1) / (r0 + r1)) AS entropy
+      FROM sided WHERE l0 + l1 > 0 AND r0 + r1 > 0),
+    best AS (SELECT impurity, term, border, l0, l1, r0, r1, row_number() OVER (PARTITION BY impurity ORDER BY round(score, 7) DESC, place, border) AS rn
+      FROM (SELECT *, 'gini' AS impurity, gini AS score FROM scored UNION ALL SELECT *, 'entropy', entropy FROM scored))
+    SELECT impurity, term, border::BIGINT AS border, l0, l1, r0, r1 FROM best WHERE rn = 1""",
+)
+def first_split(spark, sf):
+    """The split at the root of the tree of each impurity on all training rows."""
+    found, train, _ = _parts(spark, sf, _KNN_TERMS)
+    ids = F.lit(0).alias("data"), F.col("doc_id").alias("id"), F.col("label").cast("int").alias("label"), F.lit(-1).alias("fold")
+    rows = stage(ft.sparse_arrays(train.select(*ids, "features")), "tree-rows")
+    grown = fo.grow_forests(rows, [fo.Shape(0, "all", i, 1, 1, 2) for i in ("gini", "entropy")], [len(found.terms)])
+    split = [i for i in range(len(grown.shapes)) if grown.feature[i] >= 0]
+    counts = [[int(v) for side in (0, 1) for v in grown.counts[grown.left[i] + side]] for i in split]
+    out = [(grown.shapes[i].impurity, found.terms[grown.feature[i]], int(grown.bin[i]), *c) for i, c in zip(split, counts)]
+    return spark.createDataFrame(out, "impurity string, term string, border long, l0 long, l1 long, r0 long, r1 long")
 
 
 # --- neighbours -------------------------------------------------------------------------
