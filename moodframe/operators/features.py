@@ -102,8 +102,10 @@ def _frequent(counts: DataFrame, max_features: int) -> DataFrame:
 
 
 def words_of(df: DataFrame, text_col: str = "text") -> Column:
-    """Token column of a frame: ``words`` if it is there already, else made from the text."""
-    return F.col("words") if "words" in df.columns else vector_words(F.col(text_col))
+    """Token column of a frame: ``words`` if it is there already, else made from the text; a
+    null has no words."""
+    words = F.col("words") if "words" in df.columns else vector_words(F.col(text_col))
+    return F.coalesce(words, F.array().cast("array<string>"))
 
 
 def fit_vocabulary(df: DataFrame, text_col: str = "text", max_features: int = MAX_FEATURES) -> Vocabulary:

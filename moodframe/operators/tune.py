@@ -81,7 +81,7 @@ def best_setting(means: DataFrame, order: str) -> DataFrame:
     return means.orderBy(F.desc("mean_accuracy"), order).limit(1)
 
 
-def _side_by_side(tasks, parallelism: int) -> list:
+def side_by_side(tasks, parallelism: int) -> list:
     """Runs a few driver functions at once, so that the jobs of small fits overlap."""
     with ThreadPoolExecutor(parallelism) as pool:
         return list(pool.map(inheritable_thread_target(lambda task: task()), tasks))
@@ -113,7 +113,7 @@ def neighbor_fold_scores(
         return picked.groupBy("g").agg(hit.alias("accuracy")).select("g.k_order", "g.k", F.lit(fold).alias("fold"), "accuracy")
 
     vocabularies = fold_vocabularies(df, fold_col, k_folds, "text", max_features)
-    found = _side_by_side([partial(one_fold, f, v) for f, v in enumerate(vocabularies)], parallelism)
+    found = side_by_side([partial(one_fold, f, v) for f, v in enumerate(vocabularies)], parallelism)
     return reduce(DataFrame.unionByName, [scored(f, near) for f, near in enumerate(found)])
 
 
@@ -183,7 +183,7 @@ def ml_fold_scores(
 
     tasks = [partial(score, i, c, fold) for i, c in enumerate(chosen) for fold in range(k)]
     schema = "setting_order int, setting string, fold int, accuracy double, rows long"
-    return df.sparkSession.createDataFrame(_side_by_side(tasks, parallelism), schema)
+    return df.sparkSession.createDataFrame(side_by_side(tasks, parallelism), schema)
 
 
 def tree_fold_scores(df: DataFrame, fold_col: str, k: int, grid: dict, max_features: int = 5000) -> DataFrame:

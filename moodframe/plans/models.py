@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from moodframe.functions import text as tx
 from moodframe.operators import bayes as nb
+from moodframe.operators import estimators as es
+from moodframe.operators import evaluate as ev
 from moodframe.operators import features as ft
 from moodframe.operators import forest as fo
 from moodframe.operators import linear as ln
@@ -16,7 +18,6 @@ from moodframe.operators import mlmodels as ml
 from moodframe.operators import neighbors as kn
 from moodframe.operators import score as sc
 from moodframe.operators import tune as tn
-from moodframe.operators.evaluate import confusion_long
 from moodframe.operators.split import exact_folds, exact_split, fold_number, split_name
 from moodframe.plans.registry import LABELLED, hash_sql, labelled, query, table
 from moodframe.session import new_folder, stage
@@ -88,14 +89,14 @@ def _tfidf_sql(terms: int = TERMS) -> str:
     tfidf AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS v FROM raw)"""
 
 
-def _bayes_sql(alpha: float = 0.1, name: str = "scored") -> str:
+def _bayes_sql(alpha: float | str = 0.1, name: str = "scored", parts: str = "('test')") -> str:
     return f"""weights_{name} AS (
       WITH sums AS (SELECT vocab.term, coalesce(sum(v) FILTER (WHERE label = 0), 0) AS s0, coalesce(sum(v) FILTER (WHERE label = 1), 0) AS s1
         FROM vocab LEFT JOIN (SELECT * FROM tfidf WHERE split = 'train') t ON t.term = vocab.term GROUP BY vocab.term),
       tot AS (SELECT sum(s0) AS n0, sum(s1) AS n1, count(*) AS v FROM sums)
       SELECT term, ln((s1 + {alpha}) / (n1 + {alpha} * v)) - ln((s0 + {alpha}) / (n0 + {alpha} * v)) AS w FROM sums, tot),
     {name} AS (SELECT b.doc_id, b.label, coalesce(sum(t.v * w.w), 0) AS m FROM base b LEFT JOIN tfidf t ON t.doc_id = b.doc_id
-      LEFT JOIN weights_{name} w ON w.term = t.term WHERE b.split = 'test' GROUP BY ALL)"""
+      LEFT JOIN weights_{name} w ON w.term = t.term WHERE b.split IN {parts} GROUP BY ALL)"""
 
 
 def _base(spark, sf):
@@ -175,7 +176,7 @@ def bayes_scores(spark, sf):
 )
 def flagship(spark, sf):
     scored = nb.with_probability(_bayes_scores(spark, sf)[2])
-    return confusion_long(scored).withColumn("share", F.round("share", 9))
+    return ev.confusion_long(scored).withColumn("share", F.round("share", 9))
 
 
 @query(
@@ -207,9 +208,9 @@ _CV_TERMS = ft.MAX_FEATURES
 _ALPHAS = ", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(nb.ALPHA_GRID))
 
 
-def _fold_sql(terms: int) -> str:
+def _fold_sql(terms: int, where: str = "") -> str:
     return f"""{LABELLED},
-    base AS (SELECT doc_id, label, text, ({_RANK.format('PARTITION BY label')}) % 5 AS fold FROM labelled),
+    base AS (SELECT doc_id, label, text, ({_RANK.format('PARTITION BY label')}) % 5 AS fold FROM labelled {where}),
     tokens AS (SELECT doc_id, label, fold, term, count(*) AS tf FROM (
       SELECT doc_id, label, fold, unnest(regexp_extract_all(lower(text), '{tx.WORD}')) AS term FROM base) GROUP BY ALL),
     f AS (SELECT unnest(range(5)) AS f),
@@ -222,7 +223,8 @@ def _fold_sql(terms: int) -> str:
     tfidf AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY f, doc_id)) AS v FROM raw)"""
 
 
-_FOLD_ACCURACY = f"""{_fold_sql(_CV_TERMS)},
+def _fold_accuracy(where: str = "") -> str:
+    return f"""{_fold_sql(_CV_TERMS, where)},
     sums AS (SELECT o.f, o.term, coalesce(sum(v) FILTER (WHERE label = 0 AND fold <> o.f), 0) AS s0,
       coalesce(sum(v) FILTER (WHERE label = 1 AND fold <> o.f), 0) AS s1
       FROM vocab o LEFT JOIN tfidf t ON t.f = o.f AND t.term = o.term GROUP BY ALL),
@@ -236,6 +238,9 @@ _FOLD_ACCURACY = f"""{_fold_sql(_CV_TERMS)},
     accuracy AS (SELECT alpha_order, alpha, fold, avg(((m > 0)::INT = label)::INT) AS accuracy FROM margin GROUP BY ALL)"""
 
 
+_FOLD_ACCURACY = _fold_accuracy()
+
+
 def _folded(spark, sf):
     rows = labelled(spark, sf).select("doc_id", tx.vector_words(F.col("text")).alias("words"), "label")
     return stage(exact_folds(rows, "doc_id", 5, by=("label",)), "folded")
@@ -262,6 +267,68 @@ def bayes_grid(spark, sf):
     return tn.rank_settings(means, "alpha_order")
 
 
+# --- pipelines: folds inside the training split, best setting refitted ---------------------
+
+_TRAIN_ONLY = f"WHERE {hash_sql('doc_id')} % 100 < 70"
+_BEST_ALPHA = f"""best AS (WITH {_fold_accuracy(_TRAIN_ONLY)}
+      SELECT alpha_order, alpha FROM accuracy GROUP BY ALL ORDER BY round(avg(accuracy), 9) DESC, alpha_order LIMIT 1)"""
+_REFITTED = f"""{_tfidf_sql(_CV_TERMS)}, {_BEST_ALPHA}, {_bayes_sql('(SELECT alpha FROM best)', parts="('train', 'test')")}"""
+
+
+def _grid_fit(spark, sf):
+    """(naive Bayes pipeline of the best smoothing, all labelled rows with their split)."""
+    rows = stage(_base(spark, sf), "labelled")
+    train = exact_folds(rows.filter(F.col("split") == "train").drop("split"), "doc_id", 5, by=("label",))
+    settings = [{"alpha": float(a)} for a in nb.ALPHA_GRID]
+    return es.grid_search(es.text_pipeline(es.BayesClassifier(), "words", _CV_TERMS), stage(train, "folded"), settings, "fold", 5), rows
+
+
+@query(
+    "m18_pipeline_folds",
+    f"""WITH {_fold_accuracy(_TRAIN_ONLY)}, terms AS (SELECT f, count(*) AS terms FROM vocab GROUP BY f),
+    held AS (SELECT fold, count(*) AS rows FROM base GROUP BY fold)
+    SELECT alpha_order AS setting_order, alpha, a.fold::INT AS fold, round(accuracy, 9) AS accuracy, rows, terms FROM accuracy a
+      JOIN terms ON f = a.fold JOIN held USING (fold)""",
+)
+def pipeline_folds(spark, sf):
+    grid = _grid_fit(spark, sf)[0]
+    alphas = F.array(*[F.lit(s["alpha"]) for s in grid.settings])
+    return grid.scores.select("setting_order", alphas[F.col("setting_order")].alias("alpha"), "fold", F.round("accuracy", 9).alias("accuracy"), "rows", "terms")
+
+
+@query(
+    "m18_pipeline_grid",
+    f"""WITH {_REFITTED} SELECT doc_id, label, alpha, round(1 / (1 + exp(-m)), 6) AS p1, (m > 0)::INT AS prediction
+      FROM scored JOIN base USING (doc_id, label), best WHERE split = 'test'""",
+)
+def pipeline_grid(spark, sf):
+    """The refitted best pipeline, saved, loaded and applied to the test texts."""
+    grid, rows = _grid_fit(spark, sf)
+    path = new_folder(spark, "pipeline")
+    grid.model.write().overwrite().save(path)
+    scored = es.with_chances(es.load_pipeline(spark, path).transform(rows.filter(F.col("split") == "test")))
+    return scored.select("doc_id", "label", F.lit(grid.settings[grid.best]["alpha"]).alias("alpha"), F.round("p1", 6).alias("p1"), "prediction")
+
+
+@query(
+    "e12_fitted_model_report",
+    f"""WITH {_REFITTED}, s AS (SELECT split, label, (m > 0)::INT AS prediction, 1 / (1 + exp(-m)) AS p1 FROM scored JOIN base USING (doc_id, label)),
+    c AS (SELECT split, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+      count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM s GROUP BY split),
+    ranked AS (SELECT split, label, rank() OVER w + (count(*) OVER (PARTITION BY split, round(p1, 9)) - 1) / 2 AS r FROM s WINDOW w AS (PARTITION BY split ORDER BY round(p1, 9))),
+    area AS (SELECT split, (sum(r) FILTER (WHERE label = 1) - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0) AS auc FROM ranked
+      JOIN (SELECT split, tp + fn AS n1, tn + fp AS n0 FROM c) USING (split) GROUP BY split, n1, n0)
+    SELECT split, tn, fp, fn, tp, round((tp + tn) / (tn + fp + fn + tp), 9) AS accuracy, round(tp / nullif(tp + fn, 0), 9) AS sensitivity,
+      round(tn / nullif(tn + fp, 0), 9) AS specificity, round(auc, 9) AS auc FROM c JOIN area USING (split)""",
+)
+def fitted_report(spark, sf):
+    """Metrics of the refitted best model on the training and the test texts."""
+    grid, rows = _grid_fit(spark, sf)
+    scored = stage(es.with_chances(grid.model.transform(rows)).select("split", "label", "prediction", F.round("p1", 9).alias("p1")), "scored")
+    out = ev.cells(scored, "split").join(ev.accuracy(scored, "split").drop("n"), "split").join(ev.rates(scored, "split"), "split").join(ev.roc_auc(scored, "split"), "split")
+    return out.withColumns({c: F.round(c, 9) for c in ("accuracy", "sensitivity", "specificity", "auc")})
+
+
 _KNN_TERMS = 5000  # fixed value
 
 
