@@ -8,7 +8,7 @@ after one or two. A coordinate of two sketches agrees with the chance of their s
 Bands of ``ROWS`` coordinates make buckets. A link at similarity 0.8 is missed with a chance
 of (1 - 0.8 ** ROWS) ** (T / ROWS), 5e-8 here. Every member of a bucket is compared with the
 bucket's smallest member, its pivot. Members linked to the pivot hang together already. Any
-other pair x, y of a bucket has an intersection of |p| minus the elements of the pivot p that x
+other pair x, y of a bucket (a pivot's members in one band) has an intersection of |p| minus the elements of the pivot p that x
 or y lacks, plus what the two share outside p. Small bit maps of the lacking and the outside
 elements bound both parts, so a pair is met again only if the bound allows a link and it either
 shares an element outside the pivot (looked up by element) or needs none. This loses no link,
@@ -112,9 +112,11 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     linked if 100 * intersection >= percent * union; rest are elements of a outside b, of which
     so many, in the order of their values, that a partner sharing enough of them with a shares
     one of these; whole if they are all of them. marks are two maps of 256 bits, of the elements
-    of a outside b and of those of b outside a."""
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
-    names = ["a", "b", "n_a", "n_b", "common", "linked", "rest", "whole", "marks"]
+    of a outside b and of those of b outside a. Other columns of the pairs are whole numbers and
+    are carried along."""
+    carried = [c for c in pairs.columns if c not in ("a", "b")]
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
+    names = ["a", "b", "n_a", "n_b", "common", "linked", "rest", "whole", "marks", *carried]
 
     def run(parts):
         for batch in parts:
@@ -135,9 +137,10 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             bounds = pa.array(np.append(0, np.cumsum([len(r) for r in rests])).astype(np.int32))
             maps = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * 8), pa.array(marks.view(np.int64).ravel()))
             values = pa.array(np.concatenate(rests) if rests else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n_a, n_b, common, linked, pa.ListArray.from_arrays(bounds, values), whole, maps], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n_a, n_b, common, linked, pa.ListArray.from_arrays(bounds, values), whole, maps, *batch.columns[4:]], names)
 
-    return both.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long, n_a long, n_b long, common long, linked boolean, rest array<long>, whole boolean, marks array<long>")
+    more = "".join(f", {c} long" for c in carried)
+    return both.select("a", "b", "items_a", "items_b", *carried).mapInArrow(run, f"a long, b long, n_a long, n_b long, common long, linked boolean, rest array<long>, whole boolean, marks array<long>{more}")
 
 
 def with_component(rows: DataFrame, node: str, groups: DataFrame) -> DataFrame:
@@ -146,16 +149,20 @@ def with_component(rows: DataFrame, node: str, groups: DataFrame) -> DataFrame:
 
 
 def rim_pairs(stars: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of members of one pivot, one of them not linked to it, that may be linked
-    and are not connected yet. ``stars`` are members (a) compared with their pivots (b)."""
+    """(a, b): pairs of members of one bucket, one of them not linked to its pivot, that may be
+    linked and are not connected yet. ``stars`` are members (a) compared with their pivots (b);
+    bit i of ``shared`` says that they share the bucket of band i. Members of one pivot without
+    a common bucket are no pair: if they are linked, another bucket holds both."""
     members = with_component(stars.withColumnRenamed("a", "x").withColumnRenamed("b", "p"), "x", groups)
     mixed = members.groupBy("p").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"), F.max((~F.col("linked")).cast("int")).alias("loose"))
     open_ = stage(members.join(mixed.where("n > 1 and least <> most and loose = 1").select("p"), "p"), "members")
     side = lambda rows, m: rows.select(*[F.col(c).alias(c if c in ("p", "element") else f"{c}_{m}") for c in rows.columns])
-    open_ = open_.withColumn("outside", F.col("n_a") - F.col("common"))
+    open_ = open_.withColumns({"outside": F.col("n_a") - F.col("common"), "like": F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))})
     narrow = open_.drop("rest")
     rim = narrow.where("not linked")
-    apart = F.expr("component_1 <> component_2 and (linked_2 or x_1 < x_2)")
+    # one minus similarity is a metric: linked members lie about as far from the pivot
+    near = f"abs(like_1 - like_2) <= {(100 - percent) / 100 + 1e-9}"
+    apart = F.expr(f"shared_1 & shared_2 <> 0 and component_1 <> component_2 and (linked_2 or x_1 < x_2) and {near}")
     need = F.lit(percent) * (F.col("n_a_1") + F.col("n_a_2"))
     bits = lambda places, form: sum((F.bit_count(form(F.col("marks_1")[i], F.col("marks_2")[i])) for i in places), F.lit(0))
     inside = F.least("common_1", "common_2", F.col("n_b_1") - bits(range(4, 8), lambda u, v: u.bitwiseOR(v)))
@@ -187,10 +194,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80, si
     classes = stage(
         sketched.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes"
     )
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
+    members = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     pivots = members.groupBy("bucket").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
     met = members.join(pivots, "bucket").where("rep <> b")
-    pairs = stage(met.select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    bits = F.expr("bit_or(shiftleft(1L, band))")
+    pairs = stage(met.select(F.col("rep").alias("a"), "b", "band").groupBy("a", "b").agg(bits.alias("shared")), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = stage(document_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi"), words).dropDuplicates(["doc_id", "items"]), "sets")
     ids = sketched.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "set_a", "set_b").distinct()
@@ -198,7 +206,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, percent: int = 80, si
     same = ids.join(several, "doc_id").join(classes, ["n_shingles", "set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     stars = stage(compared(pairs, sets, percent), "stars")
     groups = stage(connected_components(stars.where("linked").select("a", "b").union(same)), "groups")
-    rim = stage(compared(rim_pairs(stars, groups, percent), sets, percent).where("linked").select("a", "b"), "rim")
+    rim = stage(compared(rim_pairs(stars, groups, percent).select("a", "b"), sets, percent).where("linked").select("a", "b"), "rim")
     if not rim.isEmpty():
         groups = stage(connected_components(rim.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))), "groups")
     named = classes.select("n_shingles", "set_a", "set_b", "rep")

@@ -174,6 +174,47 @@ def test_near_duplicate_chains_and_crowds(spark):
     assert all(out[2000 + i] == 2000 + i for i in range(60))
 
 
+def test_crowded_bucket_of_strangers_finds_its_one_link(spark):
+    """2,000 texts share half of their words and some elements outside the pivot, so they fall
+    into its buckets; none is linked but one pair, whose members are not linked to the pivot. The
+    pairs that are met again stay few, and no pair of the pivot's strangers is built in full."""
+    draw = np.random.default_rng(8)
+    common, outside = [f"c{i}" for i in range(60)], [f"o{i}" for i in range(10)]
+    rows = [(i, " ".join([*common, *(outside if i else []), *(f"u{i}_{k}" for k in range(draw.integers(28, 34)))])) for i in range(2000)]
+    twin = rows[700][1].split()
+    rows.append((5000, " ".join([*twin[:-4], "other", "words", "at", "end"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    built = []
+    plain_rim = near_duplicates.rim_pairs
+
+    def seen(*args):
+        built.append(stage(plain_rim(*args), "seen"))
+        return built[-1]
+
+    near_duplicates.rim_pairs = seen
+    try:
+        out = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicate_groups(docs, words=1).collect()}
+    finally:
+        near_duplicates.rim_pairs = plain_rim
+    assert out.pop(5000) == 700 and all(k == v for k, v in out.items())
+    assert built[0].count() < 20_000
+
+
+@pytest.mark.parametrize("n_words", [2, 5])
+def test_near_duplicates_equal_brute_force_on_documents(spark, sf, n_words):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: words(r["text"]) for r in docs.collect()}
+    sets = {i: {tuple(own[k : k + n_words]) for k in range(len(own) - n_words + 1)} if len(own) >= n_words else {tuple(own)} if own else set() for i, own in texts.items()}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if v == old else v for k, v in group.items()}
+    out = near_duplicates.near_duplicate_groups(docs, words=n_words).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == group and any(k != v for k, v in group.items())
+
+
 def test_sketch_estimates_similarity():
     draw = np.random.default_rng(1)
     common, a, b = (draw.integers(0, 1 << 62, n).astype(np.uint64) for n in (800, 100, 100))
