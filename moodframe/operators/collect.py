@@ -42,6 +42,12 @@ def label_posts(df: DataFrame, text_col: str, lexicon: dict[str, float]) -> Data
     return values.withColumn("sentiment", polarity_class(mean)).drop("_v")
 
 
+def post_digest() -> Column:
+    """Digest of (text, sentiment), nulls included."""
+    parts = F.coalesce("sentiment", F.lit("\x00")), F.lit("\x1f"), F.coalesce("text", F.lit("\x00"))
+    return F.sha2(F.concat(*parts), 256)
+
+
 def keep_unique_retweets(
     posts: DataFrame, arrival: str = "arrival", retweets: str = "retweet_count"
 ) -> DataFrame:
@@ -52,12 +58,9 @@ def keep_unique_retweets(
     the shuffle, of narrow rows. Retweeted posts are then matched on (digest, arrival), which
     no two posts share, so a text that makes up a third of all posts is no hot key. Posts
     without retweets are not shuffled for their own sake."""
-    digest = F.sha2(
-        F.concat(F.coalesce("sentiment", F.lit("\x00")), F.lit("\x1f"), F.coalesce("text", F.lit("\x00"))), 256
-    )
     # Written once: posts are read three times below, and cleaning them is the costly part.
     posts = stage(posts, "posts")
-    keyed = posts.withColumn("_d", F.coalesce(digest, F.lit("")))
+    keyed = posts.withColumn("_d", post_digest())
     first = keyed.groupBy("_d").agg(F.min(arrival).alias(arrival))
     kept = keyed.filter(F.col(retweets) > 0).join(first, ["_d", arrival], "left_semi").drop("_d")
     return posts.filter(F.col(retweets) <= 0).unionByName(kept)

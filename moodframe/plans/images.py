@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moodframe.operators import images as im
 from moodframe.plans.registry import query, table
-from moodframe.plans.words import _POSTS, _posts
+from moodframe.plans.words import _KEPT, _POSTS, _posts
 from moodframe.session import new_folder
 from moodframe.sources.images import load_labels
 from moodframe.sources import tables as tb
@@ -222,17 +222,28 @@ def augmented_counts(spark, sf):
     return out.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("bigint").alias("pixels"))
 
 
-@query("s6_streamed_posts", f"WITH {_POSTS} SELECT arrival, retweet_count, text, sentiment FROM posts")
-def streamed_posts(spark, sf):
+def _post_stream(spark, sf):
     raw = table(spark, sf, "documents")
     stream = ls.read_stream(spark, f"{sf}/documents*.parquet", raw.schema).select(
         F.col("doc_id").alias("arrival"), "text", (F.col("n_chars") % 2).cast("int").alias("retweet_count")
     )
+    return ls.labelled_posts_stream(stream, "text", SAMPLE_POLARITY)
+
+
+@query("s6_streamed_posts", f"WITH {_POSTS} SELECT arrival, retweet_count, text, sentiment FROM posts")
+def streamed_posts(spark, sf):
     path = new_folder(spark, "posts")
-    labelled = ls.labelled_posts_stream(stream, "text", SAMPLE_POLARITY)
     run = (
-        labelled.writeStream.format("parquet").outputMode("append").option("path", path)
+        _post_stream(spark, sf).writeStream.format("parquet").outputMode("append").option("path", path)
         .option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
     )
     run.awaitTermination()
     return spark.read.schema(_posts(spark, sf).schema).parquet(path)
+
+
+@query("l2_unique_retweets_stream", f"WITH {_POSTS}, {_KEPT} SELECT arrival, retweet_count, text, sentiment FROM kept")
+def unique_retweets_stream(spark, sf):
+    path = new_folder(spark, "unique-posts")
+    for run in ls.write_unique_posts(_post_stream(spark, sf), path, path + "-state"):
+        run.awaitTermination()
+    return ls.unique_posts(spark, path, _posts(spark, sf).schema)

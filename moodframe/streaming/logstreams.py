@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from moodframe.operators.collect import label_posts
+from moodframe.operators.collect import label_posts, post_digest
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000, fmt: str = "parquet") -> DataFrame:
@@ -87,6 +87,32 @@ def user_counts(spark: SparkSession, path: str, user_id: str = "user_id") -> Dat
 
 
 def labelled_posts_stream(posts: DataFrame, text_col: str, lexicon: dict[str, float]) -> DataFrame:
-    """The collection rule on a stream: clean and label. De-duplication of retweets needs the
-    whole history and runs on the stored table."""
+    """The collection rule on a stream: clean and label. ``write_unique_posts`` drops repeats."""
     return label_posts(posts, text_col, lexicon)
+
+
+def earliest_posts(posts: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Per digest of (text, sentiment) the post that came first. On a stream the state is one row a
+    digest; a post that turns out to be earlier replaces the one given before, whatever order
+    files come in. Minima are combined before the shuffle, so a common text is no hot key."""
+    rest = [F.col(c) for c in posts.columns if c != arrival]
+    return posts.groupBy(post_digest().alias("digest")).agg(F.min(F.struct(F.col(arrival).alias("first"), *rest)).alias("post"))
+
+
+def write_unique_posts(posts: DataFrame, path: str, checkpoint: str, arrival: str = "arrival", retweets: str = "retweet_count") -> list[StreamingQuery]:
+    """The retweet rule on an endless stream of labelled posts: a post without retweets stays, one
+    with retweets only if no equal post came earlier. Two streams of one source: posts without
+    retweets go on as they are; of all posts the first of each digest is kept as state, and each
+    batch writes the digests whose first post changed. ``unique_posts`` reads both."""
+    plain = posts.filter(F.col(retweets) <= 0).writeStream.format("parquet").outputMode("append")
+    plain = plain.option("path", f"{path}/plain").option("checkpointLocation", f"{checkpoint}-plain").trigger(availableNow=True).start()
+    return [plain, write_updates(earliest_posts(posts, arrival), f"{path}/first", f"{checkpoint}-first")]
+
+
+def unique_posts(spark: SparkSession, path: str, schema, arrival: str = "arrival", retweets: str = "retweet_count") -> DataFrame:
+    """The posts that stay by all batches so far. A later batch can only name an earlier post, so
+    the smallest of a digest takes the place of all that were given before it."""
+    plain = spark.read.schema(schema).parquet(f"{path}/plain")
+    names = [f.name for f in schema.fields]
+    first = spark.read.parquet(f"{path}/first").groupBy("digest").agg(F.min("post").alias("post")).select("post.*").withColumnRenamed("first", arrival)
+    return plain.unionByName(first.filter(F.col(retweets) > 0).select(names))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moodframe.functions.lexicon import SAMPLE_POLARITY
+from moodframe.operators.collect import keep_unique_retweets
 from moodframe.operators.ratelimit import admit_requests
 from moodframe.plans import all_queries
 from moodframe.streaming import logstreams as ls
@@ -124,3 +125,20 @@ def test_stream_queries_take_files_in_any_order(spark, sf, tmp_path, monkeypatch
     found = sorted(map(tuple, all_queries()[name](spark, sf).collect()))
     days = events.groupBy(F.to_date("ts").cast("string").alias("date")).count()
     assert found == sorted(map(tuple, (all_queries()[batch](spark, sf) if batch else days).collect()))
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]])
+def test_retweet_rule_on_a_stream_for_any_file_order(spark, tmp_path, order):
+    """Equal posts spread over files: the first one wins whenever it comes, repeats of a file's
+    batch change nothing, and null texts are posts of their own."""
+    draw, schema = random.Random(9), "arrival long, retweet_count int, text string, sentiment string"
+    rows = [(i, draw.randrange(2), draw.choice(["a", "b", "c", None, ""]), draw.choice(["positive", "neutral", None])) for i in range(80)]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in order:
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], schema).coalesce(1).write.parquet(f"{folder}/{k}")
+        for _ in range(2):
+            for run in ls.write_unique_posts(ls.read_stream(spark, f"{folder}/*", schema, files_per_batch=1), out, out + "-state"):
+                run.awaitTermination()
+    found = sorted(map(str, ls.unique_posts(spark, out, spark.createDataFrame([], schema).schema).select("arrival", "retweet_count", "text", "sentiment").collect()))
+    batch = keep_unique_retweets(spark.createDataFrame(rows, schema)).select("arrival", "retweet_count", "text", "sentiment")
+    assert found == sorted(map(str, batch.collect())) and len(found) < len(rows)
