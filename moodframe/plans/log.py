@@ -18,6 +18,7 @@ from moodframe.sources import posts as ps
 from moodframe.sources import tables as tb
 from moodframe.streaming import logstreams as ls
 from moodframe.streaming.ratelimit import admissions, close_admissions, write_admissions
+from moodframe.streaming.timedlimit import mark_end, timed_admissions, write_timed_admissions
 
 NOW, DAYS = "2024-01-31 00:00:00", 7
 
@@ -358,6 +359,21 @@ def rate_limit_stream(spark, sf):
     return admissions(spark, path)
 
 
+@query("p7_timed_rate_limit_stream", _ADMIT)
+def timed_rate_limit_stream(spark, sf):
+    """The same rule with state and timers. The lateness covers the whole table, as its files may
+    come in any order; a marker after the last one lets the timers decide the rest."""
+    requests = _event_stream(spark, sf).select(
+        F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), rl.micros(F.col("ts")).alias("us")
+    )
+    path = new_folder(spark, "timed")
+    run = lambda: write_timed_admissions(requests, path, path + "-state", LIMIT, WINDOW, 10 * 365 * 86400).awaitTermination()
+    run()
+    mark_end(spark, path)
+    run()
+    return timed_admissions(spark, path)
+
+
 @query("p8_streaming_daily_counts", _DAILY)
 def streaming_daily(spark, sf):
     path = new_folder(spark, "daily")

@@ -8,6 +8,7 @@ from moodframe.operators.collect import keep_unique_retweets
 from moodframe.operators.ratelimit import admit_requests
 from moodframe.plans import all_queries
 from moodframe.streaming import logstreams as ls
+from moodframe.streaming import timedlimit as tl
 from moodframe.streaming.ratelimit import admissions, admit_stream, close_admissions, late_requests, write_admissions
 
 LOG = "id long, user_id long, created_at timestamp_ntz"
@@ -142,3 +143,26 @@ def test_retweet_rule_on_a_stream_for_any_file_order(spark, tmp_path, order):
     found = sorted(map(str, ls.unique_posts(spark, out, spark.createDataFrame([], schema).schema).select("arrival", "retweet_count", "text", "sentiment").collect()))
     batch = keep_unique_retweets(spark.createDataFrame(rows, schema)).select("arrival", "retweet_count", "text", "sentiment")
     assert found == sorted(map(str, batch.collect())) and len(found) < len(rows)
+
+
+@pytest.mark.parametrize(("order", "lateness"), [([3, 2, 1, 0], 10.0), ([0, 1, 2, 3], 0.01), ([3, 2, 1, 0], 0.02), ([1, 0, 3, 2], 0.25)])
+def test_timers_give_the_batch_verdicts(spark, tmp_path, order, lateness):
+    """Files of 100 ms each, a run and a restart for each file; what is told late is told once."""
+    draw, folder, out = random.Random(6), str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "client long, request_id long, us long"
+    rows = [(draw.randrange(3), i, 100_000 * (i // 60) + draw.randrange(100) * 1000 + draw.randrange(2)) for i in range(240)]
+    run = lambda: tl.write_timed_admissions(ls.read_stream(spark, f"{folder}/*", schema, files_per_batch=1), out, out + "-state", 2, 0.02, lateness).awaitTermination()
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for k in order:
+        spark.createDataFrame(rows[60 * k : 60 * k + 60], schema).coalesce(1).write.parquet(f"{folder}/{k}")
+        run()
+    tl.mark_end(spark, out)
+    run()
+    found = [tuple(r) for r in tl.timed_admissions(spark, out).collect()]
+    late = [tuple(r) for r in tl.timed_late(spark, out).collect()]
+    assert sorted([r[:3] for r in found] + late) == sorted(rows)
+    assert bool(late) == (order == [3, 2, 1, 0] and lateness < 1)
+    rest = spark.createDataFrame(sorted(set(rows) - set(late)), schema)
+    want = admit_requests(rest, "client", F.col("us"), "request_id", 2, 0.02)
+    assert sorted(found) == sorted(map(tuple, want.collect())) and {r[3] for r in found} == {True, False}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
