@@ -33,14 +33,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
+def under_neutral_names(docs: DataFrame, work) -> DataFrame:
+    """``work`` on documents whose other columns travel under neutral names, so that no column of
+    theirs can clash with one of an operator; then the old names."""
+    known = ("doc_id", "text", "source", "n_chars")
+    names = [c if c in known else f"other_column_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*names)).select(names).toDF(*docs.columns)
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes that occur again anywhere."""
-    return exact_substrings.without_repeats(docs)
+    """Texts without the strings of 200 bytes that occur again anywhere. Null texts stay null,
+    repeated rows are cut alike, other columns keep their values whatever their names."""
+    return under_neutral_names(docs, exact_substrings.without_repeats)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weighted mix of the sources takes them."""
-    return source_mix.mixed_documents(docs)
+    """Documents as often as the weighted mix of the sources takes them. Null and empty texts have
+    no words and leave; other columns keep their values whatever their names."""
+    return under_neutral_names(docs, source_mix.mixed_documents)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
