@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodframe.llm.token_ids import PieceEncoder, encoded_batches
+from moodframe.llm.token_ids import encoded_batches, worker_encoder
 from moodframe.session import stage
 
 CAPACITY = 1024
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     than ``capacity`` ids is cut so that only its first piece may be shorter. Null: empty."""
 
     def run(parts):
-        encoder = PieceEncoder(tokenizer, joined=True, width=4)
+        encoder = worker_encoder(tokenizer, True, 4)
         for own, ids in encoded_batches(parts, 1, encoder, end_id):
             row, number, start, length, crc = [], [], [], [], []
             for i, body in enumerate(ids):

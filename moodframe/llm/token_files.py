@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.llm.shared_files import FileWriter, read_bytes
-from moodframe.llm.token_ids import PieceEncoder, encoded_batches
+from moodframe.llm.token_ids import encoded_batches, worker_encoder
 from moodframe.session import new_folder, stage
 
 LIMIT, STEP = 18, 128
@@ -142,7 +142,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, width: int, block
         from pyspark import TaskContext
 
         part, block = TaskContext.get().partitionId(), 0
-        encoder = PieceEncoder(tokenizer, joined=False, width=width)
+        encoder = worker_encoder(tokenizer, False, width)
         own_ids, own_sizes, bodies, total = [], [], [], 0
 
         def full():

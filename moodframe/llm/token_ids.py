@@ -1,20 +1,34 @@
-"""Token ids of texts with a tokenizers file, each distinct piece between blanks encoded once."""
+"""Token ids of texts with a tokenizers file: a block of texts is cut into pieces as one byte
+array, and each distinct piece is encoded once in a worker."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 
-#: Distinct pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+from moodframe.llm.textblocks import text_blocks
 
+#: Distinct pieces and ids a worker remembers before it starts anew, and the longest piece
+#: that it looks up again.
+REMEMBERED, STORED, LONGEST = 1_000_000, 8_000_000, 64
 
-#: One run of Latin letters and one of ASCII signs, without those that may start a contraction
-#: or a special token: what any of the tokenizers here cuts into exactly these two words.
-PLAIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:;=>?@\[-`{}~]*)\Z"
+#: Bytes of text encoded at once.
+BLOCK = 4 << 20
+
+#: ASCII signs before which a word of Latin letters may end: not those that may begin a
+#: contraction or stand in a special token.
+SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
+_LETTERS = r"A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(rf" ?(?:[{_LETTERS}]+|[{re.escape(SIGNS)}]+)")
+
+#: How a tokenizer file must split texts for the cuts below to be safe.
+WORDS_AND_CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL = re.compile(r"<\|[a-z]+\|>")
 
 
 def byte_letters() -> dict[int, int]:
@@ -25,112 +39,182 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+def known_split(spec: dict, joined: bool) -> bool:
+    """Whether the file splits texts in the way the cuts rely on: byte-level with its own
+    pattern and nothing before it (``joined``), or lower-cased words without white space."""
+    for token in spec.get("added_tokens") or []:
+        if not SPECIAL.fullmatch(token["content"]) or any(token.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            return False
+    before, split, model = spec.get("normalizer"), spec.get("pre_tokenizer") or {}, spec["model"]
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or spec.get("truncation") or spec.get("padding"):
+        return False
+    if joined:
+        return before is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    kinds = [n.get("type") for n in (before or {}).get("normalizers", [])]
+    steps = split.get("pretokenizers", [])
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"]
+        and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+        and steps[0].get("pattern") == {"Regex": WORDS_AND_CONTRACTIONS}
+        and steps[0].get("behavior") == "Removed"
+        and steps[0].get("invert") is True
+        and not steps[1].get("add_prefix_space")
+        and steps[1].get("use_regex") is False
+    )
+
+
+def _flags(values) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(values)] = True
+    return table
+
+
+_BLANK = _flags([*range(33), 127])
+_WIDE2, _WIDE3 = _flags([0xC2, 0xE1, 0xE2, 0xE3]), _flags([0xE1, 0xE2, 0xE3])
+_LETTER, _SIGN = _flags([*range(65, 91), *range(97, 123)]), _flags(SIGNS.encode())
+_LATIN = _flags(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start, the first byte of each text that has one included. A piece ends
+
+    - before a blank, and around a line break, that stands between two characters which
+      surely are no white space (characters of the ranges with wide blanks count as unsure);
+    - before one of ``SIGNS`` that follows a letter of ASCII or Latin-1.
+
+    No token and no special token of a ``known_split`` file reaches over such a place, and
+    what stands on one side does not change the tokens of the other."""
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    if n > 2:
+        unsure = _BLANK[data] | _WIDE2[data]
+        follows = (data & 0xC0) == 0x80
+        unsure[1:] |= follows[1:] & _WIDE2[data[:-1]]
+        unsure[2:] |= follows[2:] & _WIDE3[data[:-2]]
+        middle = data[1:-1]
+        alone = ~(unsure[:-2] | unsure[2:])
+        line = alone & (middle == 10)
+        cut[1 : n - 1] = alone & (middle == 32) | line
+        cut[2:n] |= line
+        letter = _LETTER[data]
+        letter[1:] |= _LATIN[data[1:]] & (data[:-1] == 0xC3)
+        cut[1:n] |= _SIGN[data[1:]] & letter[:-1]
+    cut[offsets] = True
+    return np.flatnonzero(cut[:n])
+
+
 class PieceEncoder:
-    """Ids of whole texts as little-endian bytes of ``width`` bytes an id.
+    """Ids of whole texts, as the tokenizers library gives them with ``add_special_tokens``
+    False; the strings of special tokens in a text become their ids, as it does by default.
 
-    A text is cut at blanks that stand between two characters that are no white space: no
-    token of the tokenizers used here reaches over such a place, and a blank belongs to what
-    follows it. Pieces at longer white space are not cut: with ``joined`` texts that hold any
-    are encoded whole; without it white space has no ids at all. ``add_special_tokens`` is
-    False; the strings of special tokens in a text become their ids, as the library does by
-    default. Plain pieces, words of Latin letters and signs, go to the tokenizer's model word by
-    word, each distinct word once; all others through the whole tokenizer."""
+    Texts are cut into pieces (``piece_starts``); Arrow's dictionary finds the distinct ones of
+    a block, and only those not met before are encoded: plain words and signs by the
+    tokenizer's model, others by the whole tokenizer. Files that split in another way
+    (``known_split``) have whole texts as pieces, so any file gives right ids. ``joined``: a
+    blank is part of the token behind it, otherwise white space has no ids."""
 
     def __init__(self, path: str, joined: bool, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.cuts = known_split(json.load(file), joined)
         self.joined, self.width = joined, width
-        self.lead = " " if joined else ""
-        self.letters, self.plain = byte_letters(), re.compile(PLAIN)
+        self.letters = byte_letters()
         self.blank = chr(self.letters[32])
-        self.words: dict[str, bytes] = {"\n": self._word("\n") if joined else b""}
-        self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = self.inner if not joined else {}
-
-    def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 2000):
-            out += [self.pack(e.ids) for e in self.encode.encode_batch(texts[at : at + 2000], add_special_tokens=False)]
-        return out
-
-    def _word(self, word: str) -> bytes:
-        shown = word.replace(" ", self.blank) if word.isascii() and word != "\n" else word.encode().decode("latin-1").translate(self.letters)
-        return self.pack([t.id for t in self.encode.model.tokenize(shown)])
-
-    def _plain(self, piece: str, lead: str) -> bytes | None:
-        """Ids of a plain piece, also over single line breaks; None for any other piece."""
-        if piece.isalpha() and piece.isascii():
-            word = lead + piece if self.joined else piece.lower()
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self._word(word)
-            return ids
-        out = []
-        for i, line in enumerate(piece.split("\n")):
-            found = self.plain.match(line)
-            if found is None or not line:
-                return None
-            if i:
-                out.append(self.words["\n"])
-                lead = ""
-            if not self.joined:
-                line = line.lower()
-            cut = found.end(1)
-            for word in (lead + line[:cut], line[cut:]) if cut and cut < len(line) else (lead + line,):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = self.words[word] = self._word(word)
-                out.append(ids)
-        return b"".join(out)
-
-    def _learn(self, known: dict, pieces: set, lead: str) -> None:
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(self.words) > REMEMBERED:
-            self.words = {"\n": self.words["\n"]}
-        new, plain = [], self._plain
-        for piece in pieces:
-            if piece not in known:
-                ids = plain(piece, lead)
-                if ids is None:
-                    new.append(piece)
-                else:
-                    known[piece] = ids
-        odd = [p for p in new if self.joined and (not p or p[0].isspace() or p[-1].isspace())]
-        known.update(dict.fromkeys(odd))
-        plain = [p for p in new if not self.joined or p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(zip(plain, self._ids([lead + p for p in plain]), strict=True))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes | int, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, ids: list[int], sizes: list[int]) -> None:
+        own = np.array(sizes, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(own) - own])
+        self.sizes = np.concatenate([self.sizes, own])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+
+    def _plain(self, word: str) -> list[int]:
+        if not self.joined:
+            word = word.lstrip(" ").lower()
+        if word.isascii():
+            word = word.replace(" ", self.blank)
+        else:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.encode.model.tokenize(word)]
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The row of each piece, new ones encoded."""
+        at = [self.known.get(p, -1) for p in pieces]
+        rows = np.array(at, np.int64)
+        ids, sizes, order, odd = [], [], [], []
+        for i in np.flatnonzero(rows < 0).tolist():
+            text = pieces[i].decode()
+            if self.cuts and PLAIN.fullmatch(text):
+                own = self._plain(text)
+                ids += own
+                sizes.append(len(own))
+                order.append(i)
+            else:
+                odd.append((i, text))
+        for first in range(0, len(odd), 2000):
+            some = odd[first : first + 2000]
+            for (i, _), found in zip(some, self.encode.encode_batch([t for _, t in some], add_special_tokens=False), strict=True):
+                own = found.ids
+                ids += own
+                sizes.append(len(own))
+                order.append(i)
+        base = len(self.sizes)
+        self._keep(ids, sizes)
+        for row, i in enumerate(order, base):
+            rows[i] = row
+            if len(pieces[i]) <= LONGEST:
+                self.known[pieces[i]] = row
+        return rows
+
+    def block(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each text's ids), each text's with the end id if given."""
+        if len(self.sizes) > REMEMBERED or len(self.flat) > STORED:
+            self._forget()
+        starts = piece_starts(data, offsets) if self.cuts else np.unique(offsets[:-1][np.diff(offsets) > 0])
+        places = np.append(starts, len(data))
+        binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        distinct = binary.dictionary_encode()
+        rows = self._learn(distinct.dictionary.to_pylist())[distinct.indices.to_numpy()]
+        bounds = np.searchsorted(starts, offsets)
+        if end_id is not None:
+            if end_id not in self.known:
+                self.known[end_id] = len(self.sizes)
+                self._keep([end_id], [1])
+            rows = np.insert(rows, bounds[1:], self.known[end_id])
+            bounds = bounds + np.arange(len(bounds))
+        sizes = self.sizes[rows]
+        ends = np.append(0, np.cumsum(sizes))
+        take = np.arange(ends[-1]) + np.repeat(self.starts[rows] - ends[:-1], sizes)
+        return self.flat[take], ends[bounds]
+
+    def bodies(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> list[memoryview]:
+        """Each text's ids as little-endian bytes of ``width`` bytes an id."""
+        ids, bounds = self.block(data, offsets, end_id)
+        raw, at = memoryview(ids.astype(f"<u{self.width}").tobytes()), (bounds * self.width).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut}, "")
-        if self.first is not self.inner or cut:
-            self._learn(self.inner, set().union(*[c[1:] for c in cut]) | ({c[0] for c in cut} if self.first is self.inner else set()), self.lead)
-        out: list[bytes | None] = []
-        for c in cut:
-            try:
-                out.append(self.first[c[0]] + b"".join(map(self.inner.__getitem__, c[1:])))
-            except TypeError:  # white space beside a blank
-                out.append(None)
-        whole = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
-
-
-def encoded_batches(parts, column: int, encoder: PieceEncoder, end_id: int, group: int = 256):
+        return [bytes(b) for _, data, offsets in text_blocks(pa.array(texts, pa.large_string()), BLOCK) for b in self.bodies(data, offsets)]
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, joined: bool, width: int) -> PieceEncoder:
+    """One encoder for all tasks that a Python worker runs, so that words are learned once."""
+    return PieceEncoder(path, joined, width)
+
+
+def encoded_batches(parts, column: int, encoder: PieceEncoder, end_id: int):
     """Yields (slice of a record batch, ids of each of its texts with the end id)."""
-    end = end_id.to_bytes(encoder.width, "little")
     for batch in parts:
-        for at in range(0, batch.num_rows, group):
-            own = batch.slice(at, group)
-            texts = [t or "" for t in own.column(column).to_pylist()]
-            yield own, [ids + end for ids in encoder.texts(texts)]
+        for first, data, offsets in text_blocks(batch.column(column), BLOCK):
+            yield batch.slice(first, len(offsets) - 1), encoder.bodies(data, offsets, end_id)
 
 
 def empty_like(names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:

@@ -527,3 +527,39 @@ def test_pieces_give_the_ids_of_whole_texts(name, joined, width):
     encoder = PieceEncoder(vocabulary(name), joined, width)
     want = [np.array(e.ids, f"<u{width}").tobytes() for e in encoder.encode.encode_batch(texts, add_special_tokens=False)]
     assert encoder.texts(texts) == want
+    assert encoder.cuts
+
+
+@pytest.mark.parametrize(("name", "joined", "width"), [("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)])
+def test_pieces_keep_their_ids_beside_wide_blanks_marks_and_special_tokens(name, joined, width, monkeypatch):
+    """Also while the memory of a worker is emptied between blocks and texts share a block."""
+    from moodframe.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "REMEMBERED", 50)
+    monkeypatch.setattr(token_ids, "BLOCK", 2000)
+    draw = random.Random(9)
+    texts = ["<|endoftext|>", "a<|endoftext|>b, c", "<|startoftext|>,", "x <|endoftext|> y\n<|startoftext|>\n", "\u0301y", "a =\u0338 b=\u0338", "word " * 3000, "x" * 5000 + ", " + "漢" * 3000]
+    texts += ["".join(draw.choice("abcÀéİſ '\n.,<|>1 \t sS漢\u00a0\u3000\u2009\u0301=\u0338\x1c~") for _ in range(30)) for _ in range(1500)]
+    encoder = token_ids.PieceEncoder(vocabulary(name), joined, width)
+    want = [np.array(e.ids, f"<u{width}").tobytes() for e in encoder.encode.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.texts(texts) == want
+
+
+def test_other_tokenizer_files_get_whole_texts(tmp_path):
+    """A file that splits in another way than the cuts rely on still gives its own ids."""
+    import json
+
+    from moodframe.llm.token_ids import PieceEncoder
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = json.load(file)
+    texts = ["Hello world, again", "", " a  b\nc", "x, y"]
+    for change in ({"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change), encoding="utf-8")
+        encoder = PieceEncoder(str(path), True, 4)
+        assert not encoder.cuts
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder.encode.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.texts(texts) == want
+    assert not PieceEncoder(vocabulary("byte_bpe_50k.json"), False, 4).cuts
+    assert not PieceEncoder(vocabulary("word_bpe_49k.json"), True, 4).cuts
