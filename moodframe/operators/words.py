@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import cloud_words
-from moodframe.session import stage
+from moodframe.session import hot_join, stage
 
 COLLOCATION_SCORE = 30  # fixed value: threshold of the likelihood-ratio score
 
@@ -16,13 +16,23 @@ def _is_plural(term: Column) -> Column:
     return term.endswith("s") & ~term.endswith("ss")
 
 
+def _stem(term: str) -> Column:
+    return F.when(_is_plural(F.col(term)), F.expr(f"left({term}, length({term}) - 1)"))
+
+
+def _with_singular(counts: DataFrame, term: str = "term", by: tuple[str, ...] = ()) -> DataFrame:
+    """``counts``, one row a term, with ``form``: the singular of a plural if it occurs, else
+    the term. A term that is no plural meets itself, so no key of the join is common or null."""
+    present = counts.select(*by, F.col(term).alias("_key"), F.lit(True).alias("_found"))
+    keyed = counts.withColumn("_stem", _stem(term)).withColumn("_key", F.coalesce("_stem", term))
+    joined = keyed.join(present, [*by, "_key"], "left")
+    return joined.withColumn("form", F.when(F.col("_found"), F.col("_key")).otherwise(F.col(term))).drop("_key", "_stem", "_found")
+
+
 def merge_plurals(counts: DataFrame, term: str = "term", n: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
     """Counts of a plural move to its singular where that occurs in the same class."""
-    singulars = counts.select(*by, F.col(term).alias("_stem"), F.lit(True).alias("_found"))
-    stem = F.when(_is_plural(F.col(term)), F.expr(f"left({term}, length({term}) - 1)"))
-    joined = counts.withColumn("_stem", stem).join(singulars, [*by, "_stem"], "left")
-    target = F.when(F.col("_found"), F.col("_stem")).otherwise(F.col(term))
-    return joined.groupBy(*by, target.alias(term)).agg(F.sum(n).alias(n))
+    forms = _with_singular(counts, term, by)
+    return forms.groupBy(*by, F.col("form").alias(term)).agg(F.sum(n).alias(n))
 
 
 def word_counts(
@@ -92,11 +102,7 @@ def word_and_pair_counts(
     bigrams = counts.filter(b.isNotNull()).select(F.concat_ws(" ", "a", "b").alias("term"), "n")
     standard = unigrams.select("term", "n", F.col("term").alias("form"))
     if plurals:
-        stems = unigrams.select(F.col("term").alias("_stem"), F.lit(True).alias("_f"))
-        stem = F.when(_is_plural(F.col("term")), F.expr("left(term, length(term) - 1)"))
-        standard = unigrams.withColumn("_stem", stem).join(stems, "_stem", "left").select(
-            "term", "n", F.when(F.col("_f"), F.col("_stem")).otherwise(F.col("term")).alias("form")
-        )
+        standard = _with_singular(unigrams)
         bigrams = merge_plurals(bigrams)
     # One row per word: the form it counts under and the count of that form.
     words = standard.groupBy("form").agg(F.collect_set("term").alias("_t"), F.sum("n").alias("c"))
@@ -106,11 +112,13 @@ def word_and_pair_counts(
     total = unigrams.agg(F.sum("n").cast("double").alias("n")).scalar()
     first = words.select(F.col("term").alias("a"), F.col("form").alias("fa"), F.col("c").cast("double").alias("ca"))
     second = words.select(F.col("term").alias("b"), F.col("form").alias("fb"), F.col("c").cast("double").alias("cb"))
+    # Common words stand in very many pairs: they are met by broadcast, the others by shuffle.
     split = bigrams.select(
         F.split_part("term", F.lit(" "), F.lit(1)).alias("a"), F.split_part("term", F.lit(" "), F.lit(2)).alias("b"), "term", "n"
     )
     score = likelihood_ratio(F.col("n").cast("double"), F.col("ca"), F.col("cb"), total)
-    scored = split.join(first, "a").join(second, "b").filter(score > threshold)
+    half = stage(hot_join(stage(split, "pair-forms"), first, "a"), "first-words")
+    scored = hot_join(half, second, "b").filter(score > threshold)
     passing = stage(scored.select("term", "fa", "fb", "n"), "collocations")
     taken = passing.select(F.explode(F.array("fa", "fb")).alias("term"), "n")
     taken = taken.groupBy("term").agg(F.sum("n").alias("used"))

@@ -71,22 +71,22 @@ _PLURAL = lambda c: f"suffix({c}, 's') AND NOT suffix({c}, 'ss')"
 
 @query(
     "a10_word_and_pair_counts",
-    f"""WITH lists AS (SELECT {_CLOUD_TOKENS} AS w FROM documents),
+    f"""WITH lists AS MATERIALIZED (SELECT {_CLOUD_TOKENS} AS w FROM documents),
     singles AS (SELECT unnest(w) AS term FROM lists),
-    uni AS (SELECT term, count(*) AS n FROM singles WHERE term NOT IN ({_STOPS}) GROUP BY term),
-    form AS (SELECT u.term, coalesce(s.term, u.term) AS form, u.n FROM uni u
-      LEFT JOIN uni s ON s.term = CASE WHEN {_PLURAL('u.term')} THEN left(u.term, length(u.term) - 1) END),
-    utot AS (SELECT form AS term, sum(n)::BIGINT AS n FROM form GROUP BY form),
+    uni AS MATERIALIZED (SELECT term, count(*) AS n, CASE WHEN {_PLURAL('term')} THEN left(term, length(term) - 1) ELSE term END AS key
+      FROM singles WHERE term NOT IN ({_STOPS}) GROUP BY term),
+    form AS MATERIALIZED (SELECT u.term, coalesce(s.term, u.term) AS form, u.n FROM uni u LEFT JOIN uni s ON s.term = u.key),
+    utot AS MATERIALIZED (SELECT form AS term, sum(n)::BIGINT AS n FROM form GROUP BY form),
+    side AS MATERIALIZED (SELECT f.term, f.form, u.n::DOUBLE AS c FROM form f JOIN utot u ON u.term = f.form),
+    total AS MATERIALIZED (SELECT sum(n)::DOUBLE AS t FROM uni),
     pairs AS (SELECT unnest(list_zip(w[1:len(w) - 1], w[2:len(w)])) AS p FROM lists WHERE len(w) > 1),
-    bi AS (SELECT p[1] || ' ' || p[2] AS term, count(*) AS n FROM pairs
-      WHERE p[1] NOT IN ({_STOPS}) AND p[2] NOT IN ({_STOPS}) GROUP BY 1),
-    bform AS (SELECT coalesce(s.term, b.term) AS term, sum(b.n)::BIGINT AS n FROM bi b
-      LEFT JOIN bi s ON s.term = CASE WHEN {_PLURAL('b.term')} THEN left(b.term, length(b.term) - 1) END GROUP BY 1),
-    scored AS (SELECT b.term, b.n, fa.form AS fa, fb.form AS fb, ua.n::DOUBLE AS c1, ub.n::DOUBLE AS c2,
-        (SELECT sum(n)::DOUBLE FROM uni) AS t FROM bform b
-      JOIN form fa ON fa.term = split_part(b.term, ' ', 1) JOIN form fb ON fb.term = split_part(b.term, ' ', 2)
-      JOIN utot ua ON ua.term = fa.form JOIN utot ub ON ub.term = fb.form),
-    passing AS (SELECT term, n, fa, fb FROM scored WHERE t > c1 AND t > c2 AND {_SCORE} > 30),
+    bi AS MATERIALIZED (SELECT term, n, CASE WHEN {_PLURAL('term')} THEN left(term, length(term) - 1) ELSE term END AS key FROM (
+      SELECT p[1] || ' ' || p[2] AS term, count(*) AS n FROM pairs WHERE p[1] NOT IN ({_STOPS}) AND p[2] NOT IN ({_STOPS}) GROUP BY 1)),
+    bform AS MATERIALIZED (SELECT term, n, split_part(term, ' ', 1) AS a, split_part(term, ' ', 2) AS b FROM (
+      SELECT coalesce(s.term, b.term) AS term, sum(b.n)::BIGINT AS n FROM bi b LEFT JOIN bi s ON s.term = b.key GROUP BY 1)),
+    scored AS (SELECT m.term, m.n, fa.form AS fa, fb.form AS fb, fa.c AS c1, fb.c AS c2, t FROM bform m
+      JOIN side fa ON fa.term = m.a JOIN side fb ON fb.term = m.b CROSS JOIN total),
+    passing AS MATERIALIZED (SELECT term, n, fa, fb FROM scored WHERE t > c1 AND t > c2 AND {_SCORE} > 30),
     used AS (SELECT term, sum(n) AS used FROM (SELECT fa AS term, n FROM passing UNION ALL SELECT fb, n FROM passing) GROUP BY term)
     SELECT term, n - coalesce(used, 0)::BIGINT AS n FROM utot LEFT JOIN used USING (term) WHERE n - coalesce(used, 0) > 0
     UNION ALL SELECT term, n FROM passing""",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 200_000
+HOT_KEYS, TRACKED_KEYS = 1_000, 10_000
 _local_folder: list[str] = []
 _staged: list[str] = []
 
@@ -82,6 +83,25 @@ def lookup_join(
     return facts.join(side, on, how)
 
 
+def hot_keys(facts: DataFrame, on: str, most: int = HOT_KEYS) -> list:
+    """The at most ``most`` commonest values of a column, by a sketch of ``TRACKED_KEYS``
+    counters; every value that holds clearly more than one in ``most`` rows is among them."""
+    top = facts.agg(F.expr(f"approx_top_k(`{on}`, {int(most)}, {TRACKED_KEYS})")).first()[0]
+    return [r["item"] for r in top or [] if r["item"] is not None]
+
+
+def hot_join(facts: DataFrame, lookup: DataFrame, on: str, most: int = HOT_KEYS) -> DataFrame:
+    """Inner join to a ``lookup`` of one row a key. Facts of the commonest keys stay where
+    they are and get the few rows of those keys by broadcast (at most ``most``); all others are
+    shuffled, and none of their keys is large. ``facts`` is read three times: stage it."""
+    hot = hot_keys(facts, on, most)
+    if not hot:
+        return facts.join(lookup, on)
+    common = F.col(on).isin(hot)
+    near = facts.filter(common).join(F.broadcast(lookup.filter(common)), on)
+    return near.unionByName(facts.filter(~common).join(lookup, on))
+
+
 def spread_small(df: DataFrame, bytes_per_core: int = 16 << 20) -> DataFrame:
     """Spreads a frame over all cores if the planner knows it to be small. A large one has
     splits enough and is left as it is: no shuffle."""
