@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from moodframe.llm.frames import under_neutral_names
 from moodframe.llm.language_model import spread, squeezed
 from moodframe.llm.textblocks import Hasher, byte_codes, mix64, per_text, raw_text, text_blocks
 
@@ -312,9 +313,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with its columns, repeated strings cut out of text; characters of which a part
-    is gone go too. n_chars follows where it exists; null texts stay null."""
-    cut = remove_repeats(docs, length, texts=True)
-    out = cut.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    is gone go too. n_chars follows where it exists; null texts stay null; other columns keep
+    their values whatever their names."""
+
+    def work(plain: DataFrame) -> DataFrame:
+        out = remove_repeats(plain, length, texts=True).withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+        return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+    return under_neutral_names(docs, work)

@@ -28,3 +28,10 @@ def add_from_text(docs: DataFrame, compute, added: list[tuple[str, str]], text:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(batch.num_columns - 1))], names)
 
     return source.mapInArrow(run, result).toDF(*kept, *new)
+
+
+def under_neutral_names(docs: DataFrame, work, known: tuple[str, ...] = ("doc_id", "text", "source", "n_chars")) -> DataFrame:
+    """The columns of ``docs`` after ``work`` on it, all but the ``known`` ones under neutral
+    names meanwhile, so that none of them can clash with a column that ``work`` adds."""
+    names = [c if c in known else f"carried_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*names)).select(names).toDF(*docs.columns)

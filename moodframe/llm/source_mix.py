@@ -7,13 +7,16 @@ first; only the rest is chosen by key, and the document at the border gives the
 still missing. Keys are hashes of the id, so reruns agree.
 
 The prefix sum of a source runs over about sqrt(n) key ranges of about sqrt(n) documents, so a
-source that holds a third of all rows is spread over all tasks."""
+source that holds a third of all rows is spread over all tasks. Ranges are even steps of the
+keys' distribution, which follows from the qualities of the source: low qualities have large
+keys, but do not pile up in a last range."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodframe.llm.frames import under_neutral_names
 from moodframe.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,11 +63,24 @@ def sampling_key(doc_id, quality, seed: int = SEED):
     return -F.log(chance) / quality
 
 
+def key_rates(sized: DataFrame, classes: int = 10) -> DataFrame:
+    """(mix_source, mix_rates): for each source the share of rows and the mean quality in each of
+    ``classes`` classes of quality. A key of quality q exceeds x with the chance exp(-q x)."""
+    place = F.least(F.lit(classes - 1), F.floor(F.col("mix_quality") * classes))
+    own = [F.struct((F.count_if(place == i) / F.count("*")).alias("share"), F.coalesce(F.avg(F.when(place == i, F.col("mix_quality"))), F.lit(1.0)).alias("rate")) for i in range(classes)]
+    return sized.groupBy(F.col("source").alias("mix_source")).agg(F.array(*own).alias("mix_rates"))
+
+
+def key_level(key, rates):
+    """Column: about the share of a source's keys that are smaller; it never falls with the key."""
+    return 1 - F.aggregate(rates, F.lit(0.0), lambda total, c: total + c["share"] * F.exp(-c["rate"] * key))
+
+
 def _keyed(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    base = sized.drop("source_size", "target", "taken", "mix_source", "source_rows", "mix_key", "mix_range", "mix_before")
+    base = sized.drop("source_size", "target", "taken", "mix_source", "source_rows", "mix_rates", "mix_key", "mix_range", "mix_before")
     joined = base.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
     keyed = joined.withColumn("mix_key", sampling_key(F.col("doc_id"), F.col("mix_quality"), seed))
-    return keyed.withColumn("mix_range", F.floor((1 - F.exp(-F.col("mix_key"))) * F.ceil(F.sqrt("source_rows"))))
+    return keyed.withColumn("mix_range", F.floor(key_level(F.col("mix_key"), F.col("mix_rates")) * F.ceil(F.sqrt("source_rows"))))
 
 
 def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, narrow: DataFrame | None = None) -> DataFrame:
@@ -78,7 +94,9 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     null ids share one key; rows with equal keys are ordered by id and size; documents
     without words take nothing. No Python, no cap, one task holds about sqrt(n) rows."""
     narrow = sized if narrow is None else narrow
-    targets = stage(source_targets(narrow, weights, max_epochs), "targets")
+    rates = key_rates(narrow).withColumnRenamed("mix_source", "_s")
+    targets = source_targets(narrow, weights, max_epochs)
+    targets = stage(targets.join(rates, F.col("mix_source").eqNullSafe(F.col("_s"))).drop("_s"), "targets")
     keyed = _keyed(sized, targets, seed)
     totals = _keyed(narrow, targets, seed).groupBy("mix_source", "mix_range").agg(F.sum("mix_size").alias("words"))
     earlier = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,13 +107,19 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
     taken = F.col("mix_size") * epochs + F.greatest(F.lit(0), F.least(F.col("mix_size"), rest - prefix))
-    return placed.withColumn("taken", taken.cast("long")).drop("mix_source", "source_rows", "mix_key", "mix_range", "mix_before")
+    return placed.withColumn("taken", taken.cast("long")).drop("mix_source", "source_rows", "mix_rates", "mix_key", "mix_range", "mix_before")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of the mix with the columns of ``docs`` (doc_id, text, source and any others):
     one row for each complete repeat of a document, and one with its first words for the
-    document at a source's border, n_chars following the text."""
+    document at a source's border, n_chars following the text. Null and empty texts have no
+    words and leave; repeated rows are taken each; other columns keep their values whatever
+    their names."""
+    return under_neutral_names(docs, lambda plain: _mixed(plain, weights, max_epochs, seed))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int) -> DataFrame:
     columns = docs.columns
     narrow = stage(measured(docs).select("doc_id", "source", "mix_size", "mix_quality"), "sized")
     mixed = mix_sources(measured(docs), weights, max_epochs, seed, narrow).where("taken > 0")
