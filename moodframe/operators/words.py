@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import cloud_words
-from moodframe.session import hot_join, stage
+from moodframe.session import hot_join, hot_keys, stage
 
 COLLOCATION_SCORE = 30  # fixed value: threshold of the likelihood-ratio score
 
@@ -30,9 +30,15 @@ def _with_singular(counts: DataFrame, term: str = "term", by: tuple[str, ...] =
 
 
 def merge_plurals(counts: DataFrame, term: str = "term", n: str = "n", by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of a plural move to its singular where that occurs in the same class."""
-    forms = _with_singular(counts, term, by)
-    return forms.groupBy(*by, F.col("form").alias(term)).agg(F.sum(n).alias(n))
+    """Counts of a plural move to its singular where that occurs in the same class. Both meet
+    under the singular, which no third term shares: one shuffle, two rows a group at most."""
+    key = F.coalesce(_stem(term), F.col(term))
+    is_key = F.col(term) == F.col("_key")
+    both = counts.withColumn("_key", key).groupBy(*by, "_key").agg(
+        F.sum(F.when(is_key, F.col(n))).alias("_own"), F.sum(F.when(~is_key, F.col(n))).alias("_plural")
+    )
+    name = F.when(F.col("_own").isNull(), F.concat("_key", F.lit("s"))).otherwise(F.col("_key"))
+    return both.select(*by, name.alias(term), (F.coalesce("_own", F.lit(0)) + F.coalesce("_plural", F.lit(0))).alias(n))
 
 
 def word_counts(
@@ -114,12 +120,13 @@ def word_and_pair_counts(
     second = words.select(F.col("term").alias("b"), F.col("form").alias("fb"), F.col("c").cast("double").alias("cb"))
     # Common words stand in very many pairs: they are met by broadcast, the others by shuffle.
     split = bigrams.select(
-        F.split_part("term", F.lit(" "), F.lit(1)).alias("a"), F.split_part("term", F.lit(" "), F.lit(2)).alias("b"), "term", "n"
+        F.split_part("term", F.lit(" "), F.lit(1)).alias("a"), F.split_part("term", F.lit(" "), F.lit(2)).alias("b"), "n"
     )
     score = likelihood_ratio(F.col("n").cast("double"), F.col("ca"), F.col("cb"), total)
-    half = stage(hot_join(stage(split, "pair-forms"), first, "a"), "first-words")
-    scored = hot_join(half, second, "b").filter(score > threshold)
-    passing = stage(scored.select("term", "fa", "fb", "n"), "collocations")
+    split = stage(split, "pair-forms")
+    hot_b = hot_keys(split, "b")
+    scored = hot_join(hot_join(split, first, "a"), second, "b", found=hot_b).filter(score > threshold)
+    passing = stage(scored.select(F.concat_ws(" ", "a", "b").alias("term"), "fa", "fb", "n"), "collocations")
     taken = passing.select(F.explode(F.array("fa", "fb")).alias("term"), "n")
     taken = taken.groupBy("term").agg(F.sum("n").alias("used"))
     left = (

@@ -90,11 +90,12 @@ def hot_keys(facts: DataFrame, on: str, most: int = HOT_KEYS) -> list:
     return [r["item"] for r in top or [] if r["item"] is not None]
 
 
-def hot_join(facts: DataFrame, lookup: DataFrame, on: str, most: int = HOT_KEYS) -> DataFrame:
+def hot_join(facts: DataFrame, lookup: DataFrame, on: str, most: int = HOT_KEYS, found: list | None = None) -> DataFrame:
     """Inner join to a ``lookup`` of one row a key. Facts of the commonest keys stay where
     they are and get the few rows of those keys by broadcast (at most ``most``); all others are
-    shuffled, and none of their keys is large. ``facts`` is read three times: stage it."""
-    hot = hot_keys(facts, on, most)
+    shuffled, and none of their keys is large. ``facts`` is read twice, and once more for its
+    common keys unless they are ``found`` before: stage it."""
+    hot = hot_keys(facts, on, most) if found is None else found
     if not hot:
         return facts.join(lookup, on)
     common = F.col(on).isin(hot)
