@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from moodframe.operators import images as im
 from moodframe.operators import quality as q
+from moodframe.plans import all_queries
 from moodframe.sources import images as si
 from moodframe.sources import posts as ps
 from moodframe.sources import tables as tb
@@ -46,6 +47,19 @@ def test_headerless_latin1(spark, tmp_path):
     assert rows == {(1, "très bien"), (0, "bad")}
 
 
+def test_csv_round_trips_keep_odd_rows(spark, tmp_path):
+    """Empty and missing texts stay apart, a source with a line break does not cut its row, and a
+    label other than 1 is no positive one."""
+    docs = [(1, None, "w"), (2, "", "w"), (3, "\u65e5", None), (4, "\xe9t\xe9 x", "a\nb"), (5, "none", "w"), (6, "two", "a,\r\nb")]
+    spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1), (2, 1), (3, 0), (4, 1), (5, None), (6, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = all_queries()["s2_headerless_latin1_csv"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(1, None), (1, ""), (0, ""), (1, "\xe9t\xe9 x"), (0, "none"), (0, "two")], key=str)
+    rows = all_queries()["s1_csv_round_trip"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in rows} == {(str(i), t) for i, t, _ in docs}
+
+
 def test_validation_order_and_nulls(spark):
     rows = [("a", 1), ("a", 1), (" ", 1), (None, 0), ("b", None), ("c", 2), ("nan", 0)]
     df = spark.createDataFrame(rows, "t string, y int")
