@@ -319,16 +319,11 @@ def proofs(manifest: Manifest, changed: str | None = None) -> DataFrame:
         own = Block.of(row["size"], row["levels"], arity, row["digests"], row["states"])
         at = left.column("pos").to_numpy() % each
         new = left.column("changed_to").to_pylist()
-        some = np.flatnonzero([v is not None for v in new])
         values = own.digests[at].copy()
-        for i in some.tolist():
+        for i in np.flatnonzero([v is not None for v in new]).tolist():
             values[i] = np.frombuffer(new[i], np.uint8)
-        # what has not changed ends in the root of the same steps, once for all
-        moved = fold_steps(row["path"], arity, own.fold(at[some], values[some]) if len(some) else own.digests[-1:])
-        root = fold_steps(row["path"], arity, own.digests[-1:])[0].tobytes()
-        folded = [root] * len(at)
-        for k, i in enumerate(some.tolist()):
-            folded[i] = moved[k].tobytes()
+        # every leaf goes its own way, changed or not: no stored top stands in for a fold
+        folded = [v.tobytes() for v in fold_steps(row["path"], arity, own.fold(at, values))]
         near = [own.siblings(i) + row["near"] for i in at.tolist()]
         columns = [left.column(c) for c in names] + [pa.array([row["top_of"]] * len(at), pa.binary()), pa.array(near, pa.binary()), pa.array(folded, pa.binary())]
         return pa.Table.from_arrays(columns, [*names, "subroot", "siblings", "folded"])

@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from moodframe.llm import merkle, sha_states
+from moodframe.session import stage
 
 FIELDS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -96,3 +98,15 @@ def test_any_single_change_breaks_the_root(spark):
     rows = merkle.document_proofs(docs).collect()
     assert {r["verified"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0} == {False}
     assert all(r["verified"] and r["folded_root"] == r["root"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7)
+
+
+def test_every_leaf_is_folded(spark):
+    """A digest that was spoilt after the tree was built breaks the fold of its sibling, which has
+    not changed itself; leaves of other trees still reach the root."""
+    docs = spark.createDataFrame([(i, "s", f"l{i % 2}", 1, "t") for i in range(0, 12)], FIELDS)
+    manifest = merkle.document_manifest(docs)
+    second = F.unhex(F.sha2(F.expr("substr(digests, 33, 32)"), 256))
+    spoilt = F.when(F.col("tree") == "=l0", F.concat(F.expr("substr(digests, 1, 32)"), second, F.expr("substr(digests, 65)"))).otherwise(F.col("digests"))
+    manifest.tiers[0] = stage(manifest.tiers[0].withColumn("digests", spoilt))
+    found = {(r["tree"], r["pos"]): bytes(r["folded"]).hex() == manifest.root for r in merkle.proofs(manifest).collect()}
+    assert {k for k, held in found.items() if not held} == {("=l0", 0), ("=l0", 1)} and len(found) == 12
