@@ -52,11 +52,22 @@ def word_features(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...],
         yield "gram", bucket, owner[word]
 
 
+#: Bytes of text that the driver takes apart at once; what that needs is some hundred times as much.
+SAMPLE_BLOCK = 1 << 16
+
+
+def _drained(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays in one; the list is emptied, so that nothing is held twice for longer than this."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
 def sparse_rows(column: pa.Array, sizes: tuple[int, ...], buckets: int, pairs: bool = False):
     """(row bounds, feature ids, weights): each family is averaged over its members; families
     have id ranges of their own only if ``pairs`` is set (one bag otherwise)."""
-    ids, weights, rows = [], [], []
-    for first, data, offsets in text_blocks(column):
+    ids, weights, rows, lengths = [], [], [], np.zeros(len(column), np.int64)
+    for first, data, offsets in text_blocks(column, SAMPLE_BLOCK):
         parts = list(word_features(data, offsets, sizes, buckets, pairs))
         shift = {"word": 0, "pair": buckets, "gram": 2 * buckets} if pairs else dict.fromkeys(("word", "pair", "gram"), 0)
         for family in ("word", "pair", "gram") if pairs else ("all",):
@@ -65,18 +76,19 @@ def sparse_rows(column: pa.Array, sizes: tuple[int, ...], buckets: int, pairs: b
                 continue
             owner, value, count = distinct_pairs(np.concatenate([p[2] for p in own]), np.concatenate([p[1] + shift[p[0]] for p in own]))
             total = np.bincount(owner, count, len(offsets) - 1)
-            rows.append((owner + first).astype(np.int32))
+            lengths[first : first + len(offsets) - 1] += np.bincount(owner, minlength=len(offsets) - 1)
+            if pairs:
+                rows.append((owner + first).astype(np.int32))
             ids.append(value.astype(np.int32))
             weights.append((count / total[owner]).astype(np.float32))
-    if not rows:
-        return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    row = np.concatenate(rows)
-    rows.clear()
+    bounds = np.append(0, np.cumsum(lengths))
+    if not ids:
+        return bounds, np.zeros(0, np.int64), np.zeros(0)
     if not pairs:  # already in the order of the texts
-        return np.searchsorted(row, np.arange(len(column) + 1)), np.concatenate(ids), np.concatenate(weights)
+        return bounds, _drained(ids), _drained(weights)
+    row = _drained(rows)
     order = np.argsort(row, kind="stable").astype(np.int32)
-    bounds = np.searchsorted(row[order], np.arange(len(column) + 1))
-    return bounds, np.concatenate(ids)[order], np.concatenate(weights)[order]
+    return bounds, _drained(ids)[order], _drained(weights)[order]
 
 
 def mean_scores(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], table: np.ndarray) -> np.ndarray:

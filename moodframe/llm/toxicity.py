@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -66,14 +67,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_r
 def _bags(texts: list[str], sizes, buckets: int):
     """Subword bags of the distinct words of a sample, and the word shares of its texts."""
     known: dict[bytes, int] = {}
-    bounds, word_of, share_of = [0], [], []
+    # arrays of numbers, not lists of objects: the driver is small
+    bounds, word_of, share_of = [0], array("q"), array("d")
     for text in texts:
         counts = Counter(text.encode("utf-8", "surrogatepass").lower().split())
-        word_of += [known.setdefault(w, len(known)) for w in counts]
-        share_of += [n / counts.total() for n in counts.values()]
+        word_of.extend(known.setdefault(w, len(known)) for w in counts)
+        share_of.extend(n / counts.total() for n in counts.values())
         bounds.append(len(word_of))
-    bags = sparse_rows(pa.array(list(known), pa.large_binary()), sizes, buckets)
-    return bags, (np.array(bounds), np.array(word_of, np.int64), np.array(share_of))
+    words = pa.array(list(known), pa.large_binary())
+    del known
+    return sparse_rows(words, sizes, buckets), (np.array(bounds), np.frombuffer(word_of, np.int64), np.frombuffer(share_of))
 
 
 def _pooled(odds: np.ndarray, share: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
