@@ -144,6 +144,20 @@ def test_neighbors_match_brute_force(spark, blocks):
     assert all(votes[i] == int(labels[got[i]].sum() >= 3) for i in votes)
 
 
+def test_neighbors_copy_rows_a_fixed_number_of_times(spark, monkeypatch):
+    """Ten times the rows make about ten times the copies, not a hundred times, until the groups are as
+    large as allowed."""
+    copies = lambda t, q: (lambda g: t * g[1] + q * g[0])(kn.grid_shape((t, t * 100), (q, q * 100), 2000, 1000))
+    assert copies(140_000, 60_000) <= 12 * copies(14_000, 6_000) and copies(840_000, 360_000) <= 6.1 * copies(140_000, 60_000)
+    t, q = kn.grid_shape((8_000_000, 800_000_000), (10, 1000), 2000, 1000)
+    assert t * kn.GROUP_ENTRIES >= 800_000_000 and q == 1 and kn.grid_shape((0, 0), (0, 0), 7, 5) == (1, 1)
+    rows = spark.createDataFrame([(i, i % 2, [0], [i / 64.0]) for i in range(300)], "id long, label int, idx array<int>, val array<double>")
+    monkeypatch.setattr(kn, "GROUP_ENTRIES", 40)
+    near = kn.nearest_neighbors(rows, rows, 3, 1, 7, 5).orderBy("query_id", "rn").collect()
+    want = {i: sorted(range(300), key=lambda j: (abs(i - j), j))[:3] for i in range(300)}
+    assert [r["neighbor_id"] for r in near] == [j for i in range(300) for j in want[i]]
+
+
 def test_vote_tie_goes_to_the_smaller_label(spark):
     near = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 0, 2)], "query_id long, neighbor_id long, label int, rn long")
     assert kn.vote(near, 2).first()["prediction"] == 0
