@@ -210,3 +210,13 @@ def test_ml_fold_scores_equal_single_fits(corpus):
         model = ml.decision_tree(2, 4, "entropy").fit(vectors(train))
         hits = [r["prediction"] == r["label"] for r in model.transform(vectors(held)).collect()]
         assert (found[3, fold]["accuracy"], found[3, fold]["rows"]) == (sum(hits) / len(hits), len(hits))
+
+
+def test_text_trees_get_parts_of_bounded_size(spark, sf, monkeypatch):
+    """Small limits make more parts of the training rows and the same tree."""
+    seen, fit = [], ml.DecisionTreeClassifier.fit
+    monkeypatch.setattr(ml.DecisionTreeClassifier, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count(), rows.first()["features"].size)) or fit(self, rows))
+    scored = lambda: sorted(map(tuple, all_queries()["m14_text_decision_tree"](spark, sf).collect()))
+    whole = scored()
+    monkeypatch.setattr(ml, "TREE_BYTES", seen[0][1] * 4 * seen[0][2] // 30, raising=False)
+    assert scored() == whole and seen[1][0] >= 30 > seen[0][0] and seen[0][1:] == seen[1][1:]
