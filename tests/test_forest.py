@@ -145,3 +145,12 @@ def test_grids_score_every_setting_in_five_folds(spark, sf, name, settings):
     assert sorted(r["setting_order"] for r in rows) == list(range(settings)) and {r["folds"] for r in rows} == {5}
     assert all(0.5 < r["mean_accuracy"] <= 1 for r in rows) and len({r["setting"] for r in rows}) == settings
     assert {k for k, _ in groupby(sorted(r["setting"].count("40") for r in rows))} <= {0, 1}
+
+
+def test_groups_of_nodes_span_many_trees():
+    """Each group scans the rows once more, so they must be few; equal cells are added up."""
+    forests = fo.Forests.roots([fo.Shape(0, "sqrt", "gini", 20_000, 5, 2)], [5000])
+    groups = fo.node_groups(forests, np.arange(20_000), 1)
+    assert len(groups) <= 5 and np.concatenate([g.nodes for g in groups]).tolist() == list(range(20_000))
+    cells = [np.array([7 << 32 | 2, 3 << 32 | 1, 7 << 32 | 5]), np.array([3 << 32 | 9])]
+    assert fo.added(cells).tolist() == [3 << 32 | 10, 7 << 32 | 7] and not len(fo.added([]))
