@@ -6,13 +6,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.functions.lexicon import NOUN_SUFFIXES
-from moodframe.session import lookup_join
+from moodframe.session import LOOKUP_ROWS, lookup_join
 
 
 def _stripped(word: Column) -> Column:
@@ -71,9 +75,31 @@ def lemma_table(words: DataFrame, vocabulary: DataFrame, exceptions: DataFrame)
     return best.select("word", F.col("b.form").alias("lemma")).filter(F.col("word") != F.col("lemma"))
 
 
-def lemmatize(df: DataFrame, key: str, words_col: str, lemmas: DataFrame) -> DataFrame:
-    """Token arrays with each token replaced by its lemma where there is one. Texts keep
-    their order; a text bounds the rows collected per key."""
+def lemmatize(df: DataFrame, key: str, words_col: str, lemmas: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Token arrays with each token replaced by its lemma where there is one. A dictionary of at
+    most ``max_rows`` words goes to every task and texts stay where they are; a larger one is
+    joined, for which tokens are shuffled twice."""
+    table = lemmas.select("word", "lemma").limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return _lemmatize_joined(df, key, words_col, lemmas)
+    shipped = df.sparkSession.sparkContext.broadcast(table.combine_chunks())
+    tokens = F.coalesce(F.array_compact(words_col), F.array().cast("array<string>")).alias(words_col)
+    texts = df.select(key, tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, forms = (shipped.value[c].combine_chunks() for c in ("word", "lemma"))
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            found = pc.coalesce(forms.take(pc.index_in(flat, value_set=words)), flat) if len(forms) else flat
+            bounds = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)], [key, words_col])
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def _lemmatize_joined(df: DataFrame, key: str, words_col: str, lemmas: DataFrame) -> DataFrame:
+    """Texts keep their order; a text bounds the rows collected per key."""
     tokens = df.select(key, F.posexplode_outer(words_col).alias("pos", "word"))
     joined = lookup_join(tokens, lemmas, "word", "left")
     spot = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("lemma", "word").alias("w")))

@@ -119,3 +119,15 @@ def test_lemma_rules(spark):
     texts = spark.createDataFrame([(1, ["the", "dogs", "dogs"]), (2, [])], "id long, w array<string>")
     out = {r["id"]: r["w"] for r in lemmatize(texts, "id", "w", table).collect()}
     assert out == {1: ["the", "dog", "dog"], 2: []}
+
+
+def test_lemmas_do_not_move_texts(spark):
+    """A dictionary that fits goes to the texts; a larger one is joined, with the same tokens."""
+    lemmas = spark.createDataFrame([("dogs", "dog"), ("men", "man")], "word string, lemma string")
+    texts = spark.createDataFrame([(1, ["men", "the", None, "dogs", "men"]), (2, []), (3, None), (4, ["a"])], "id long, w array<string>")
+    near = lemmatize(texts, "id", "w", lemmas)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    found = {r["id"]: r["w"] for r in near.collect()}
+    assert found == {1: ["man", "the", "dog", "man"], 2: [], 3: [], 4: ["a"]}
+    assert found == {r["id"]: r["w"] for r in lemmatize(texts, "id", "w", lemmas, 1).collect()}
+    assert {r["id"]: r["w"] for r in lemmatize(texts, "id", "w", lemmas.limit(0)).collect()}[1] == ["men", "the", "dogs", "men"]
