@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from moodframe.functions.text import vector_words
+from moodframe.operators.features import MAX_FEATURES_LIMIT
 from moodframe.operators.ordered import exact_quantiles
-from moodframe.session import lookup_join
 
 ENSEMBLE_THRESHOLD = 0.7  # fixed value
 MAX_LENGTH = 128  # fixed value
@@ -63,25 +67,34 @@ def encode_fixed(
     df: DataFrame, key: str, text_col: str, vocabulary: DataFrame, max_length: int = MAX_LENGTH
 ) -> DataFrame:
     """Token ids with start and end marks, cut or padded to ``max_length``, with attention
-    mask and a flag for cut texts. ``vocabulary`` has term and idx. Only the tokens that fit
-    are joined, so a text never yields more than ``max_length`` rows."""
+    mask and a flag for cut texts. ``vocabulary`` has term and idx, at most ``MAX_FEATURES_LIMIT``
+    rows, which is checked; it goes to every task, and texts stay where they are."""
     room = max_length - 2
-    words = df.select(key, vector_words(F.col(text_col)).alias("_w"))
-    cut = words.select(key, F.slice("_w", 1, room).alias("_t"), (F.size("_w") > room).alias("truncated"))
-    tokens = cut.select(key, "truncated", F.posexplode_outer("_t").alias("pos", "term"))
-    ids = lookup_join(tokens, vocabulary.select("term", F.col("idx").alias("_id")), "term", "left")
-    spot = F.when(F.col("term").isNotNull(), F.struct("pos", F.coalesce(F.col("_id") + FIRST_WORD_ID, F.lit(UNKNOWN)).alias("id")))
-    grouped = ids.groupBy(key, "truncated").agg(F.sort_array(F.collect_list(spot)).alias("_s"))
-    body = F.transform("_s", lambda s: s["id"])
-    full = F.concat(F.array(F.lit(START)), body, F.array(F.lit(END)))
-    padded = F.concat(full, F.array_repeat(F.lit(PAD), F.lit(max_length) - F.size(full)))
-    mask = F.concat(
-        F.array_repeat(F.lit(1), F.size(full)), F.array_repeat(F.lit(0), F.lit(max_length) - F.size(full))
-    )
-    return grouped.select(
-        key, padded.alias("input_ids"), mask.alias("attention_mask"),
-        F.size(full).cast("bigint").alias("used"), "truncated",
-    )
+    words = F.coalesce(vector_words(F.col(text_col)), F.array().cast("array<string>"))
+    cut = df.select(key, words.alias("_w")).select(key, F.slice("_w", 1, room).alias("_t"), (F.size("_w") > room).alias("truncated"))
+    terms = vocabulary.select("term", F.col("idx").cast("int").alias("idx")).limit(MAX_FEATURES_LIMIT + 1).toArrow()
+    if terms.num_rows > MAX_FEATURES_LIMIT:
+        raise ValueError(f"more than {MAX_FEATURES_LIMIT} terms")
+    shipped = df.sparkSession.sparkContext.broadcast(terms.combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, numbers = shipped.value["term"].combine_chunks(), np.append(shipped.value["idx"].to_numpy() + FIRST_WORD_ID, UNKNOWN).astype(np.int32)
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            spot = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), len(known)).to_numpy(zero_copy_only=False)
+            ids = np.full((batch.num_rows, max_length), PAD, np.int32)
+            place = np.arange(max_length)
+            ids[(place > 0) & (place <= sizes[:, None])] = numbers[spot]
+            ids[:, 0], ids[np.arange(len(sizes)), sizes + 1] = START, END
+            mask = (place <= sizes[:, None] + 1).astype(np.int32)
+            bounds = pa.array(np.arange(batch.num_rows + 1) * max_length, pa.int32())
+            arrays = [pa.ListArray.from_arrays(bounds, pa.array(v.ravel())) for v in (ids, mask)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(sizes + 2, pa.int64()), batch.column(2)], names)
+
+    schema = StructType(cut.select(key).schema.fields).add("input_ids", ArrayType(IntegerType())).add("attention_mask", ArrayType(IntegerType())).add("used", "long").add("truncated", "boolean")
+    names = schema.names
+    return cut.mapInArrow(run, schema)
 
 
 def bulk_score(
@@ -95,8 +108,6 @@ def bulk_score(
     returns a function from a 2-D array to logits, or to one sigmoid value per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         model = load_model()
         for batch in batches:
             if batch.empty:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moodframe.functions import text as tx
 from moodframe.functions.lexicon import EMOTICON_WORDS, NOUN_SUFFIXES, post_cleaner_drops
-from moodframe.operators.features import MAX_FEATURES_LIMIT, fit_vocabulary
+from moodframe.operators.features import MAX_FEATURES_LIMIT, frequent_terms
 from moodframe.operators.lemmas import lemma_table, lemmatize
 from moodframe.operators.score import encode_fixed, length_cap
 from moodframe.plans.registry import query, quoted, table
@@ -212,7 +212,7 @@ _ENCODE_TERMS = MAX_FEATURES_LIMIT
 def encoding(spark, sf):
     docs = table(spark, sf, "documents")
     words = docs.select("doc_id", "text")
-    vocabulary = fit_vocabulary(words, "text", _ENCODE_TERMS).table(spark)
+    vocabulary = frequent_terms(words, "text", _ENCODE_TERMS)
     coded = encode_fixed(docs, "doc_id", "text", vocabulary)
     as_text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
     return coded.select("doc_id", as_text("input_ids"), as_text("attention_mask"), "used", "truncated")

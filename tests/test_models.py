@@ -220,3 +220,14 @@ def test_text_trees_get_parts_of_bounded_size(spark, sf, monkeypatch):
     whole = scored()
     monkeypatch.setattr(ml, "TREE_BYTES", seen[0][1] * 4 * seen[0][2] // 30, raising=False)
     assert scored() == whole and seen[1][0] >= 30 > seen[0][0] and seen[0][1:] == seen[1][1:]
+
+
+def test_encoding_does_not_move_texts(spark):
+    """Null texts are empty; the terms are those of the counted vocabulary."""
+    df = spark.createDataFrame([(1, "bb aa bb cc"), (2, None), (3, "cc bb")], "id long, text string")
+    terms = ft.frequent_terms(df, "text", 2)
+    assert [tuple(r) for r in terms.sort("idx").collect()] == [(t, i) for i, t in enumerate(ft.fit_vocabulary(df, "text", 2).terms)]
+    coded = encode_fixed(df, "id", "text", terms, 5)
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in coded.sort("id").collect()] == [
+        (1, [2, 4, 1, 4, 3], [1] * 5, 5, True), (2, [2, 3, 0, 0, 0], [1, 1, 0, 0, 0], 2, False), (3, [2, 5, 4, 3, 0], [1, 1, 1, 1, 0], 4, False)]
