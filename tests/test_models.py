@@ -231,3 +231,18 @@ def test_encoding_does_not_move_texts(spark):
     assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in coded.sort("id").collect()] == [
         (1, [2, 4, 1, 4, 3], [1] * 5, 5, True), (2, [2, 3, 0, 0, 0], [1, 1, 0, 0, 0], 2, False), (3, [2, 5, 4, 3, 0], [1, 1, 1, 1, 0], 4, False)]
+
+
+def test_rounds_read_blocks_of_rows(spark, monkeypatch):
+    """Rows are read as blocks, by no more tasks than cores; rows without terms count too."""
+    monkeypatch.setattr(ln, "BLOCK_ROWS", 4)
+    x = [([0, 2], [0.5, -1.0]), ([], []), ([1], [2.0])] * 7
+    df = spark.createDataFrame([(i % 2, Vectors.sparse(3, *v)) for i, v in enumerate(x)], ["label", "features"]).repartition(40)
+    rows = ln.training_rows(df)
+    assert tuple(rows.agg(F.sum("rows"), F.max("rows") <= 4).first()) == (21, True)
+    assert ln._few_tasks(rows.union(rows).repartition(40)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    w = np.array([0.3, -0.2, 0.1])
+    dense = np.array([Vectors.sparse(3, *v).toArray() for v in x])
+    y = np.where(np.arange(21) % 2 == 1, 1.0, -1.0)
+    grad, facts = ln.full_gradient(rows, "log", w)
+    assert np.allclose(grad, dense.T @ (ln.loss_and_slope("log", y * (dense @ w))[1] * y) / 21) and facts["n"] == 21
