@@ -246,3 +246,14 @@ def test_rounds_read_blocks_of_rows(spark, monkeypatch):
     y = np.where(np.arange(21) % 2 == 1, 1.0, -1.0)
     grad, facts = ln.full_gradient(rows, "log", w)
     assert np.allclose(grad, dense.T @ (ln.loss_and_slope("log", y * (dense @ w))[1] * y) / 21) and facts["n"] == 21
+
+
+def test_terms_are_counted_in_tasks(spark):
+    """Counts by key, with a null key, empty and null texts; tokens are not rows of any stage."""
+    rows = [(0, ["b", "a", "b"]), (None, ["a", None]), (1, []), (1, None), (0, ["b"]), (1, ["c", "a", "c"])]
+    df = spark.createDataFrame(rows, "f int, words array<string>").repartition(3)
+    counted = ft.term_counts(df, ft.words_of(df), "f")
+    found = {(r["f"], r["term"]): (r["n"], r["df"]) for r in counted.collect()}
+    assert found == {(0, "a"): (1, 1), (0, "b"): (3, 2), (None, "a"): (1, 1), (1, "a"): (1, 1), (1, "c"): (2, 1)}
+    assert {r["term"]: (r["n"], r["df"]) for r in ft.term_counts(df, ft.words_of(df)).collect()} == {"a": (3, 3), "b": (3, 2), "c": (2, 1)}
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
