@@ -12,6 +12,7 @@ from moodframe.operators import tune as tn
 from moodframe.operators.score import encode_fixed, ensemble_class, with_softmax
 from moodframe.operators.split import exact_folds, exact_split
 from moodframe.plans import all_queries
+from moodframe.plans.models import _pixels
 from moodframe.sources import tables as tb
 
 
@@ -257,3 +258,19 @@ def test_terms_are_counted_in_tasks(spark):
     assert found == {(0, "a"): (1, 1), (0, "b"): (3, 2), (None, "a"): (1, 1), (1, "a"): (1, 1), (1, "c"): (2, 1)}
     assert {r["term"]: (r["n"], r["df"]) for r in ft.term_counts(df, ft.words_of(df)).collect()} == {"a": (3, 3), "b": (3, 2), "c": (2, 1)}
     assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forest_keeps_the_nodes_of_its_rows_and_stays_the_same(spark, tmp_path):
+    values = np.random.default_rng(3).normal(size=(600, 64))
+    rows = [(i, v.tolist(), int(v[0] + v[1] > 0)) for i, v in enumerate(values)]
+    folder = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(folder)
+    train, test = _pixels(spark, str(tmp_path))
+    sizes = [r["n"] for r in train.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= 2 * min(sizes)
+    assert ml.random_forest().getCacheNodeIds()
+    scores = [
+        ml.scored_classes(ml.random_forest(trees=10, min_split=10, **kw).fit(train), test, ["vec_id"]).orderBy("vec_id").collect()
+        for kw in ({}, {"cacheNodeIds": False})
+    ]
+    assert scores[0] == scores[1]
