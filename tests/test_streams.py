@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,75 @@ def test_timers_give_the_batch_verdicts(spark, tmp_path, order, lateness):
     want = admit_requests(rest, "client", F.col("us"), "request_id", 2, 0.02)
     assert sorted(found) == sorted(map(tuple, want.collect())) and {r[3] for r in found} == {True, False}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
+class Held:
+    """State of one client that counts its calls."""
+
+    def __init__(self):
+        self.values, self.calls = [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Marked(self)
+
+    def appendValue(self, value):
+        self.values.append(value)
+        self.calls += 1
+
+    def appendList(self, values):
+        self.values += values
+        self.calls += len(values)
+
+    def put(self, values):
+        self.values = values
+        self.calls += len(values)
+
+    def get(self):
+        return iter(self.values)
+
+    def clear(self):
+        self.values = []
+
+    def registerTimer(self, ms):
+        self.calls += 1
+
+    def listTimers(self):
+        return iter([])
+
+
+class Marked:
+    def __init__(self, held):
+        self.held, self.value = held, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+        self.held.calls += 1
+
+
+class Clock:
+    def getCurrentWatermarkInMs(self):
+        return 500
+
+
+def test_state_of_a_client_takes_few_calls_whatever_its_requests():
+    """A thousand requests are kept and read back in a few values, a frame without late rows says nothing."""
+    processor, held = tl.TimedAdmission(2, 20_000), Held()
+    processor.init(held)
+    order = random.Random(4).sample(range(1000), 1000)
+    frame = pd.DataFrame({"us": [1000 * i for i in order], "request_id": order})
+    assert sum(map(len, processor.handleInputRows((7,), iter([frame[:600], frame[600:]]), None))) == 0
+    told = pd.concat(processor.handleExpiredTimer((7,), Clock(), None))
+    assert held.calls <= 10
+    assert told["request_id"].tolist() == list(range(500)) and told["us"].tolist() == [1000 * i for i in range(500)]
+    assert told["admitted"].tolist() == [i % 20 < 2 for i in range(500)]
+    late = pd.concat(processor.handleInputRows((7,), iter([frame[:600]]), None))
+    assert late["us"].tolist() == [1000 * i for i in order[:600] if i < 500] and late["late"].all() and late["admitted"].isna().all()
