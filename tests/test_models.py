@@ -274,3 +274,27 @@ def test_forest_keeps_the_nodes_of_its_rows_and_stays_the_same(spark, tmp_path):
         for kw in ({}, {"cacheNodeIds": False})
     ]
     assert scores[0] == scores[1]
+
+
+def test_class_sums_of_blocks_equal_those_of_vectors(spark):
+    """Labels of neither class, rows without words and terms of such rows alone count as before."""
+    texts = ["sun sun day", "rain night", "day rain rain", "", "fog", None, "snow snow"]
+    rows = [(i, texts[i % 7], [0, 1, 1, 0, None, 1, 2][i % 7]) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").coalesce(3)
+    vectors = ft.tfidf_vectors(docs, ft.fit_vocabulary(docs, "text", 10))
+    want = sorted(tuple(r) for r in nb.class_sums(vectors).collect())
+    got = sorted(tuple(r) for r in nb.block_class_sums(ln.training_rows(vectors)).collect())
+    assert len(got) == 6 and np.allclose(got, want, atol=1e-12)
+    none = ln.training_rows(vectors.limit(0))
+    assert nb.block_class_sums(none).count() == 0
+
+
+def test_text_ensemble_makes_each_vector_once(spark, sf, monkeypatch):
+    made, real = [], ft.tfidf_vectors
+    monkeypatch.setattr(ft, "tfidf_vectors", lambda *a, **k: made.append(1) or real(*a, **k))
+    sums = []
+    monkeypatch.setattr(nb, "class_sums", lambda *a: sums.append(1))
+    scored = all_queries()["m19_text_ensemble"](spark, sf)
+    assert made == [1, 1] and not sums
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 0
+    assert scored.count() > 0
