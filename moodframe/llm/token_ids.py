@@ -13,12 +13,12 @@ import pyarrow as pa
 
 from moodframe.llm.textblocks import text_blocks
 
-#: Distinct pieces and ids a worker remembers before it starts anew, and the longest piece
-#: that it looks up again.
-REMEMBERED, STORED, LONGEST = 1_000_000, 8_000_000, 64
+#: Distinct pieces and ids a worker remembers before it drops most of them, and the longest
+#: piece that it looks up again. Workers outlive their stage, so this stays in memory.
+REMEMBERED, STORED, LONGEST = 250_000, 2_000_000, 64
 
-#: Bytes of text encoded at once.
-BLOCK = 4 << 20
+#: Bytes of text encoded at once. The arrays of a block take some 40 times as much.
+BLOCK = 1 << 20
 
 #: ASCII signs before which a word of Latin letters may end: not those that may begin a
 #: contraction or stand in a special token.
@@ -123,16 +123,28 @@ class PieceEncoder:
         self.joined, self.width = joined, width
         self.letters = byte_letters()
         self.blank = chr(self.letters[32])
-        self._forget()
+        self.known: dict[bytes | int, int] = {}
+        self.flat, self.starts, self.sizes, self.met = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        self.known: dict[bytes | int, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Drops pieces met in one block only since the last time, and all but those of the most
+        blocks, until at most half the bounds is in use."""
+        rows = np.fromiter(self.known.values(), np.int64, len(self.known))
+        order = np.argsort(-self.met[rows], kind="stable")[: REMEMBERED // 2]
+        order = order[(self.met[rows[order]] > 1) & (np.cumsum(self.sizes[rows[order]]) <= STORED // 2)]
+        new = np.full(len(self.sizes), -1, np.int64)
+        new[rows[order]] = np.arange(len(order))
+        self.known = {piece: int(new[row]) for piece, row in self.known.items() if new[row] >= 0}
+        sizes, starts = self.sizes[rows[order]], self.starts[rows[order]]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(starts - ends + sizes, sizes)]
+        self.starts, self.sizes, self.met = ends - sizes, sizes, np.zeros(len(sizes), np.int64)
 
     def _keep(self, ids: list[int], sizes: list[int]) -> None:
         own = np.array(sizes, np.int64)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(own) - own])
         self.sizes = np.concatenate([self.sizes, own])
+        self.met = np.concatenate([self.met, np.zeros(len(own), np.int64)])
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
 
     def _plain(self, word: str) -> list[int]:
@@ -171,6 +183,7 @@ class PieceEncoder:
             rows[i] = row
             if len(pieces[i]) <= LONGEST:
                 self.known[pieces[i]] = row
+        self.met[rows] += 1
         return rows
 
     def block(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
