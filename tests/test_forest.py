@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from moodframe.operators import forest as fo
+from moodframe.operators import groves as gr
 from moodframe.operators import tune as tn
 from moodframe.plans import all_queries
 from moodframe.session import stage
@@ -154,3 +155,55 @@ def test_groups_of_nodes_span_many_trees():
     assert len(groups) <= 5 and np.concatenate([g.nodes for g in groups]).tolist() == list(range(20_000))
     cells = [np.array([7 << 32 | 2, 3 << 32 | 1, 7 << 32 | 5]), np.array([3 << 32 | 9])]
     assert fo.added(cells).tolist() == [3 << 32 | 10, 7 << 32 | 7] and not len(fo.added([]))
+
+
+def test_trees_grown_in_tasks_equal_trees_grown_by_levels(spark, rows, monkeypatch):
+    """Whatever the way nodes are counted and the number of trees at once; rows that repeat a
+    feature or give it out of order included."""
+    grids = {"impurity": ["gini", "entropy"], "maxDepth": [2, 6], "minSplit": [10, 60]}, {
+        "numTrees": [3, 70], "featureSubsetStrategy": ["sqrt", "log2"], "maxDepth": [3], "impurity": ["gini"], "minSplit": [5]}
+    schema = "data int, id long, label int, fold int, idx array<int>, val array<double>"
+    odd = [(d, i, y, f, idx[::-1], val[::-1]) for d, i, y, f, idx, val in corpus(90, 3)] + [(0, 500, 1, 1, [2, 2], [0.1, 0.1])]
+    odd = stage(spark.createDataFrame(odd, schema))
+    scores = lambda table, grid: sorted(map(tuple, fo.forest_fold_scores(table, grid, 2, [FEATURES, FEATURES]).collect()))
+    for table in (rows, odd):
+        for grid in grids:
+            monkeypatch.setattr(fo, "ENTRIES", -1)
+            levels = scores(table.where("id < 500"), grid)
+            monkeypatch.setattr(fo, "ENTRIES", 1 << 25)
+            for gain, pairs, values in ((0, 1 << 19, 1 << 17), (1 << 20, 200, 40)):
+                monkeypatch.setattr(gr, "WORD_GAIN", gain)
+                monkeypatch.setattr(gr, "PAIRS", pairs)
+                monkeypatch.setattr(gr, "VALUES", values)
+                assert scores(table.where("id < 500"), grid) == levels
+    assert len(scores(odd, grids[0])) == 16
+
+
+def test_forests_of_small_data_sets_take_one_job_and_not_one_a_level(spark, rows, monkeypatch):
+    """No level of all trees is counted, shuffled and sent to the driver."""
+    def refuse(*_):
+        raise AssertionError("grown by levels")
+
+    monkeypatch.setattr(fo, "level_splits", refuse)
+    grid = {"numTrees": [20], "featureSubsetStrategy": ["sqrt"], "maxDepth": [9], "impurity": ["gini"], "minSplit": [4]}
+    assert fo.forest_fold_scores(rows, grid, 2, [FEATURES, FEATURES]).count() == 2
+
+
+def test_pieces_of_trees_cover_the_grid():
+    settings = fo.settings_of(tn.FOREST_GRID)
+    shapes = fo.shapes_of(settings, 5)
+    plan, copies = gr._plan(settings, shapes, [5000] * 5, 8)
+    assert len(plan) == 5 * copies and 5 * copies % 8 == 0
+    trees = sorted((n, t) for _, _, taken in plan for n, first, last in taken for t in range(first, last))
+    assert trees == [(n, t) for n in range(len(shapes)) for t in range(500)]
+
+
+def test_a_root_that_is_a_leaf_leaves_other_trees_alone(spark, monkeypatch):
+    """Samples of few rows often have one class only."""
+    rows = stage(spark.createDataFrame([(0, i, int(i == 3), i % 2, [i % 3], [0.2 + i / 20]) for i in range(12)], "data int, id long, label int, fold int, idx array<int>, val array<double>"))
+    for subset in ("sqrt", "all"):
+        grid = {"numTrees": [40], "featureSubsetStrategy": [subset], "maxDepth": [4], "impurity": ["gini"], "minSplit": [2]}
+        found = fo.forest_fold_scores(rows, grid, 1, [3]).collect()
+        monkeypatch.setattr(fo, "ENTRIES", -1)
+        assert fo.forest_fold_scores(rows, grid, 1, [3]).collect() == found and found[0]["rows"] == 6
+        monkeypatch.setattr(fo, "ENTRIES", 1 << 25)
