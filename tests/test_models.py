@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -159,6 +160,41 @@ def test_neighbors_copy_rows_a_fixed_number_of_times(spark, monkeypatch):
     assert [r["neighbor_id"] for r in near] == [j for i in range(300) for j in want[i]]
 
 
+@pytest.mark.parametrize(("head", "tail", "few"), [(256, 512, 100), (3, 4, 100), (3, 4, 1), (3, 4, 1 << 30)])
+def test_pruned_neighbors_match_brute_force(spark, monkeypatch, head, tail, few):
+    """Sparse rows of two kinds, many copies and ties, negative and large values, an empty row: few
+    pairs are compared in full, however many stay after the short rows."""
+    rng = np.random.default_rng(8)
+    rows = np.where(rng.random((300, 30)) < 0.2, np.round(rng.normal(size=(300, 30)), 1), 0.0)
+    rows[::2, 15:] = rows[1::2, :15] = 0.0
+    rows[20:40], rows[7], rows[8, 3] = rows[5], 0.0, 1e6 if few == 1 else 2.0
+    train, queries = [(i, i % 3 % 2, v) for i, v in enumerate(rows)], [(i, v) for i, v in enumerate(rows[::3])]
+    sparse = lambda v: (np.flatnonzero(v).tolist(), v[np.flatnonzero(v)].tolist())
+    make = lambda r: [(*x[:-1], *sparse(x[-1])) for x in r]
+    monkeypatch.setattr(kn, "HEAD", head)
+    monkeypatch.setattr(kn, "TAIL", tail)
+    monkeypatch.setattr(kn, "FEW", few)
+    monkeypatch.setattr(kn, "STRIP", 16)
+    full, compare = [0], kn._distances
+
+    def counted(*args):
+        full[0] += len(args[4])
+        return compare(*args)
+
+    monkeypatch.setattr(kn, "_distances", counted)
+    known, asked = (pa.table({c: list(v) for c, v in zip(names, zip(*make(r), strict=True), strict=True)}) for names, r in ((("id", "label", "idx", "val"), train), (("id", "idx", "val"), queries)))
+    asked = asked.set_column(1, "idx", asked.column("idx").cast(pa.list_(pa.int64()))).set_column(2, "val", asked.column("val").cast(pa.list_(pa.float64())))
+    found = kn._nearest(4, 30, 64, 50)(known.take(rng.permutation(300)), asked).to_pandas()
+    for i, v in queries:
+        d2 = np.round(np.maximum((rows**2).sum(1) + (v**2).sum() - 2 * rows @ v, 0), 9)
+        want = sorted(range(300), key=lambda j: (d2[j], j))[:4]
+        got = found[found.query_id == i].sort_values(["d2", "neighbor_id"])
+        if i == 7 or abs(v).max() < 1e5:
+            assert got.neighbor_id.tolist() == want and got.label.tolist() == [j % 3 % 2 for j in want]
+    if few == 100 and head == 256:
+        assert full[0] < 0.3 * 300 * 100
+
+
 def test_vote_tie_goes_to_the_smaller_label(spark):
     near = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 0, 2)], "query_id long, neighbor_id long, label int, rn long")
     assert kn.vote(near, 2).first()["prediction"] == 0
